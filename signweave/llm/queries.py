@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, search, simhash, tokens, vectors
+from . import packing, quality, search, simhash, tokens, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,12 +30,16 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(_read(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), most=4, words=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_packing, op5_embedding_near_dedup, op6_exact_top_k, op8_simhash_near_dedup)
+    found = (op1_token_counts, op2_packing, op5_embedding_near_dedup, op6_exact_top_k, op7_quality_classifier, op8_simhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
