@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, search, simhash, tokens, vectors
+from . import licenses, packing, quality, search, simhash, tokens, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, room=4096)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents")).drop("detections")
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_read(spark, sf_dir, "embeddings"), cosine=0.98)
 
@@ -39,7 +43,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_packing, op5_embedding_near_dedup, op6_exact_top_k, op7_quality_classifier, op8_simhash_near_dedup)
+    found = (op1_token_counts, op2_packing, op3_license_scan, op5_embedding_near_dedup, op6_exact_top_k, op7_quality_classifier, op8_simhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
