@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, packing, quality, search, simhash, tokens, vectors
+from . import licenses, packing, passages, quality, search, simhash, tokens, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +27,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents")).drop("detections")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.remove_repeats(_read(spark, sf_dir, "documents"), length=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_read(spark, sf_dir, "embeddings"), cosine=0.98)
 
@@ -43,7 +49,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_packing, op3_license_scan, op5_embedding_near_dedup, op6_exact_top_k, op7_quality_classifier, op8_simhash_near_dedup)
+    found = (op1_token_counts, op2_packing, op3_license_scan, op4_substring_dedup, op5_embedding_near_dedup, op6_exact_top_k, op7_quality_classifier, op8_simhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
