@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, passages, quality, search, simhash, tokens, vectors
+from . import licenses, lines, mixing, packing, passages, quality, search, simhash, tokens, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,8 +48,24 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), most=4, words=4)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_recurring_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: Domains of the labelled table and their target weights.
+DOMAIN = "case when toxic = 1 then 'toxic' when quality = 1 then 'clean' when quality = 0 then 'poor' end"
+TARGETS = {"clean": 0.96, "poor": 0.01, "toxic": 0.03}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = _read(spark, sf_dir, "labels").select("doc_id", F.expr(DOMAIN).alias("domain"))
+    mixed = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text"), labelled, TARGETS, prefix="")
+    return mixed.drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_packing, op3_license_scan, op4_substring_dedup, op5_embedding_near_dedup, op6_exact_top_k, op7_quality_classifier, op8_simhash_near_dedup)
+    found = (op1_token_counts, op2_packing, op3_license_scan, op4_substring_dedup, op5_embedding_near_dedup, op6_exact_top_k, op7_quality_classifier, op8_simhash_near_dedup, op9_line_dedup, op10_mixing)
     return {f.__name__: f for f in found}
 
 
