@@ -141,40 +141,34 @@ def with_memberships(docs: DataFrame, model: Model, text_col: str = "text", pref
     return found.withColumn(f"{prefix}{domains[0]}", F.lit(UNITS) - sum((F.col(x) for x in shares), F.lit(0)))
 
 
-def rate(start: Column, steps: list[list[float]], shares: list[Column]) -> Column:
-    """A document's rate after more steps, each an excess by domain."""
-    for step in steps:
-        start = F.greatest(F.lit(0.0), start - sum((s * F.lit(g / UNITS) for s, g in zip(shares, step)), F.lit(0.0)))
-    return start
+def rate(steps: list[list[float]], shares: list[Column]) -> Column:
+    """The rate after the steps, each an excess by domain, from rate one."""
+    if not steps:
+        return F.lit(1.0)
+    by_domain = [constant(list(g), "double") for g in zip(*steps)]
 
+    def after(r: Column, i: Column) -> Column:
+        return F.greatest(F.lit(0.0), r - sum((s * F.get(g, i) for s, g in zip(shares, by_domain)), F.lit(0.0)) / UNITS)
 
-def fit_rates(cells: DataFrame, targets: dict[str, float], domains: list[str], prefix: str = "mix_", most: int = STEPS, enough: float = ENOUGH, each: int = 8) -> list[list[float]]:
-    """Steps until the expected totals match the targets, which are shares of all tokens.
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), after)
 
-    Every `each` steps the cells are written with the rates so far, so that no expression
-    grows with the number of steps that a job evaluates.
-    """
-    scratch = Scratch(cells.sparkSession, "mixing")
+
+def fit_rates(cells: DataFrame, targets: dict[str, float], domains: list[str], prefix: str = "mix_", most: int = STEPS, enough: float = ENOUGH) -> list[list[float]]:
+    """Steps until the expected totals match the targets, which are shares of all tokens."""
     shares = [F.col(f"{prefix}{d}") for d in domains]
-    tokens = F.col("tokens").cast("double")
-    first = cells.agg(F.sum(tokens).alias("all"), *(F.sum(tokens * s / UNITS).alias(f"a{k}") for k, s in enumerate(shares))).first()
-    if not first["all"]:
-        return []
-    weight = sum(targets.values())
-    goal = [first["all"] * targets[d] / weight for d in domains]
-    scale = [first[f"a{k}"] for k in range(len(domains))]
-    table, steps, tail = cells.withColumn("r", F.lit(1.0)), [], []
-    for i in range(most):
-        r = rate(F.col("r"), tail, shares)
-        if len(tail) == each:
-            table, tail, r = scratch.table(table.withColumn("r", r), str(i)), [], F.col("r")
-        now = table.agg(*(F.sum(tokens * r * s / UNITS).alias(f"a{k}") for k, s in enumerate(shares))).first()
+    tokens, weight, steps, scale = F.col("tokens").cast("double"), sum(targets.values()), [], None
+    while len(steps) < most:
+        r = rate(steps, shares)
+        now = cells.agg(F.sum(tokens).alias("all"), *(F.sum(tokens * r * s / UNITS).alias(f"a{k}") for k, s in enumerate(shares))).first()
+        if not now["all"]:
+            break
+        totals = [now[f"a{k}"] for k in range(len(domains))]
+        scale = scale or totals  # at rate one
         # a domain that no document belongs to cannot be moved
-        step = [round((now[f"a{k}"] - goal[k]) / scale[k], 9) if scale[k] else 0.0 for k in range(len(domains))]
+        step = [round((x - now["all"] * targets[d] / weight) / s, 9) if s else 0.0 for x, d, s in zip(totals, domains, scale)]
         if max(map(abs, step)) < enough:
             break
         steps.append(step)
-        tail.append(step)
     return steps
 
 
@@ -195,4 +189,4 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     cells = scratch.table(found.groupBy(*shares).agg(F.sum(f"{prefix}tokens").alias("tokens")), "cells")
     steps = fit_rates(cells, targets, domains, prefix)
     draw = F.pmod(F.xxhash64(F.lit("copies"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    return found.withColumn(f"{prefix}rate", rate(F.lit(1.0), steps, [F.col(s) for s in shares])).withColumn(f"{prefix}copies", F.floor(F.col(f"{prefix}rate") + draw).cast("int"))
+    return found.withColumn(f"{prefix}rate", rate(steps, [F.col(s) for s in shares])).withColumn(f"{prefix}copies", F.floor(F.col(f"{prefix}rate") + draw).cast("int"))
