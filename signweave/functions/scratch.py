@@ -40,12 +40,9 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it again: lineage ends here, and the shuffle files of
-        the finished step can go."""
+        """Write df and read it again: lineage ends here."""
         schema = df.schema
         df.write.parquet(f"{self.root}/{name}")
-        del df
-        self.release()
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
