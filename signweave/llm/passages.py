@@ -134,9 +134,12 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     small = lambda: named.mapInArrow(halves, "h long, id long")
     across = lambda found, *by: found.groupBy(*by).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     repeated = scratch.table(across(small(), "h").select("h"), "halves")
+    scratch.release()
     asked = small().join(repeated, "h").groupBy("id").agg(F.collect_set("h").alias("hs"))
     found = scratch.table(named.join(asked, "id").mapInArrow(wholes, "h long, g int, id long"), "wholes")
+    scratch.release()
     again = scratch.table(across(found, "h", "g").select("h", "g", "least"), "again")
+    scratch.release()
     later = found.join(again, ["h", "g"]).where("id > least")
     marked = scratch.table(later.groupBy("id").agg(F.collect_set("h").alias("hs")), "marked")
     scratch.drop("wholes")
