@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,17 +24,18 @@ from signweave.functions.scratch import Scratch
 from .slices import slices
 
 DEPTH, TOKENS, DOCS, CONSTANT, SHARE = 3, 4, 10, 0.5, 0.5
-FIELD = re.compile(rb"[^\x20\x09-\x0d]*[0-9][^\x20\x09-\x0d]*")
+DIGIT, FIELD = re.compile(rb"[0-9]"), re.compile(rb"[^\x20\x09-\x0d]*[0-9][^\x20\x09-\x0d]*")
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def digest(x: bytes) -> int:
+    h = xxhash.xxh64_intdigest(x)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def parse(line: bytes, depth: int) -> tuple[int, int, bytes]:
-    """Number of tokens, leaf, and the line with its fields masked."""
-    tokens = FIELD.sub(b"<*>", line).split()
-    return len(tokens), signed(xxhash.xxh64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:depth]))), b" ".join(tokens)
+def parse(line: bytes, depth: int) -> tuple[list[bytes], int]:
+    """The line's tokens with its fields masked, and its leaf."""
+    tokens = (FIELD.sub(b"<*>", line) if DIGIT.search(line) else line).split()
+    return tokens, digest(b"%d " % len(tokens) + b" ".join(tokens[:depth]))
 
 
 def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = TOKENS, min_docs: int = DOCS, constant: float = CONSTANT, max_share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,7 +59,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int =
         for batch in slices(batches):
             found, keys = [], []
             for key, body in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                own = {leaf for n, leaf, _ in (parse(x, depth) for x in body.split(b"\n")) if n >= min_tokens}
+                own = {leaf for tokens, leaf in (parse(x, depth) for x in body.split(b"\n")) if len(tokens) >= min_tokens}
                 found += own
                 keys += [key] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(keys, pa.int64())], names=["leaf", "key"])
@@ -70,19 +70,23 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int =
             for key, body, asked in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("leaves").to_pylist()):
                 wanted, own = set(asked), {}
                 for x in body.split(b"\n"):
-                    n, leaf, masked = parse(x, depth)
-                    if n >= min_tokens and leaf in wanted:
-                        own[masked] = leaf
+                    tokens, leaf = parse(x, depth)
+                    if len(tokens) >= min_tokens and leaf in wanted:
+                        own[b" ".join(tokens)] = leaf
                 for masked, leaf in own.items():
-                    for column, value in zip(out, (key, leaf, signed(xxhash.xxh64_intdigest(masked)), masked)):
+                    for column, value in zip(out, (key, leaf, digest(masked), masked)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary()).cast(pa.string())], names=["key", "leaf", "line", "masked"])
 
     # leaves that recur, then the lines there, once per text
-    all_leaves = keyed.mapInArrow(leaves, "leaf long, key long").distinct()
+    all_leaves = scratch.table(keyed.mapInArrow(leaves, "leaf long, key long").distinct(), "all")
     many = scratch.table(all_leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
-    asked = scratch.table(keyed.mapInArrow(leaves, "leaf long, key long").distinct().join(many, "leaf").groupBy("key").agg(F.collect_set("leaf").alias("leaves")), "asked")
-    there = scratch.table(keyed.join(asked, "key").mapInArrow(lines, "key long, leaf long, line long, masked string").dropDuplicates(["key", "line"]), "there")
+    asked = scratch.table(all_leaves.join(many, "leaf").groupBy("key").agg(F.collect_set("leaf").alias("leaves")), "asked")
+    scratch.drop("all")
+    scratch.release()
+    # merged at every size, so that the plan of a small table is that of a large one
+    there = scratch.table(keyed.join(asked.hint("merge"), "key").mapInArrow(lines, "key long, leaf long, line long, masked string").dropDuplicates(["key", "line"]), "there")
+    scratch.release()
     # constant tokens of each place, then each line's template
     distinct = scratch.table(there.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("masked").alias("masked")), "distinct")
     tokens = distinct.select("leaf", "line", "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))
@@ -112,10 +116,10 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int =
                     listed, sizes = set(listed), []
                     kept, went, tokens_gone = [], 0, 0
                     for row in rows:
-                        n, _, masked = parse(row, depth)
-                        sizes.append(n)
-                        if n >= min_tokens and signed(xxhash.xxh64_intdigest(masked)) in listed:
-                            tokens_gone += n
+                        tokens, _ = parse(row, depth)
+                        sizes.append(len(tokens))
+                        if len(tokens) >= min_tokens and digest(b" ".join(tokens)) in listed:
+                            tokens_gone += len(tokens)
                         else:
                             kept.append(row)
                     if tokens_gone > max_share * sum(sizes):
@@ -134,6 +138,6 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int =
     carried = [new for c, new in zip(others, carried) if c != text_col]
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in carried), "`line text` string", "n_lines long", "n_dropped long"])
-    cleaned = source.join(gone, "key", "left").mapInArrow(drop, schema)
+    cleaned = source.join(gone.hint("merge"), "key", "left").mapInArrow(drop, schema)
     back = dict(zip([c for c in others if c != text_col], carried))
     return cleaned.select(*(F.col(back[c]).alias(c) if c in back else F.col("line text").alias(c) for c in others), "n_lines", "n_dropped")
