@@ -139,7 +139,11 @@ def rules() -> list[tuple[str, int, float, str, str]]:
     """(label, priority, confidence, keyword, pattern), in order."""
     found = list(TEXTS)
     for label, name, words in FAMILIES:
-        found.append((label, 30, 1.0, "spdx", rf"spdx license identifier {words}"))
-        found.append((label, 20, 0.95, "under", rf"(?:licensed|released|distributed|available|published|provided|covered|shared|issued|offered)(?: to you)? under (?:the |a )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?(?: version| v)?(?: [0-9]+)?(?: [0-9])?(?: only| or later)?"))
-        found.append((label, 10, 0.8, "licen", rf"{name} (?:public )?licen[sc]e(?: agreement)?(?: version| v)?(?: [0-9]+)?(?: [0-9])?"))
+        # a name with its version says more than the family's
+        more = int(any(c.isdigit() for c in label))
+        found.append((label, 30 + more, 1.0, "spdx", rf"spdx license identifier {words}"))
+        found.append((label, 20 + more, 0.95, "under", rf"(?:licensed|released|distributed|available|published|provided|covered|shared|issued|offered)(?: to you)? under (?:the |a )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?(?: version| v)?(?: [0-9]+)?(?: [0-9])?(?: only| or later)?"))
+        found.append((label, 10 + more, 0.8, "licen", rf"{name} (?:public )?licen[sc]e(?: agreement)?(?: version| v)?(?: [0-9]+)?(?: [0-9])?"))
+        if "license" in name:
+            found.append((label, 12 + more, 0.85, "license", name))
     return found
