@@ -1 +1 @@
-
+"""Column functions, global order and intermediate tables."""

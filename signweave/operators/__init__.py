@@ -1 +1 @@
-
+"""Operators over edge lists, graphs, trees and states."""

@@ -1 +1 @@
-
+"""Queries put together from operators, and their DuckDB statements."""

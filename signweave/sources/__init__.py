@@ -1 +1 @@
-
+"""Edge lists in, reports out."""

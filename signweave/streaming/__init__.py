@@ -1 +1,2 @@
-
+"""Nothing here yet: inputs are whole edge lists, and collections of states of several
+runs are merged by signweave.operators.states.merged."""
