@@ -64,7 +64,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, tables: int = TABLES,
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
     fine = "label is not null and vec is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x != 0)"
     ok = rows.where(fine)
-    # the hash stands for label and vector in shuffles; both are compared where classes form
+    # classes form on labels and vectors themselves; after that a 64-bit hash names a class
     grouped_rows = ok.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.table(grouped_rows.select(F.xxhash64("label", F.size("vec"), "vec").alias("id"), "rep", "copies", "label", "vec"), "classes")
 
@@ -101,11 +101,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, tables: int = TABLES,
                     low = lowest(near)
                     if t := int(ts[a]):
                         earlier = table_keys(units, tables, projections, width, seed)[:, :t]
-                        for i, j in zip(*np.nonzero(near)) if near.sum() < 64 else ():
-                            near[i, j] = not (earlier[i] == earlier[j]).any()
-                        if near.sum() >= 64:
-                            for k in range(t):
-                                near &= earlier[:, None, k] != earlier[None, :, k]
+                        for k in range(t):
+                            near &= earlier[:, None, k] != earlier[None, :, k]
                     out[0].append(ids[at])
                     out[1].append(near @ copies[at])
                     out[2].append(ids[at][low])
