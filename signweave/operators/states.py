@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from signweave.functions.scratch import Scratch
+
 from .graph import Graph
 
 
@@ -48,6 +50,19 @@ def state_keys(trees: DataFrame) -> DataFrame:
     return trees.join(zero, "iter").withColumn("side", F.when(F.col("s") == F.col("s0"), "+").otherwise("-")).groupBy("iter").agg(F.sha2(sides, 256).alias("state_key"))
 
 
+def edge_string_keys(graph: Graph, edge_states: DataFrame) -> DataFrame:
+    """iter, state_key: the whole state as text, edges in order of original ids.
+
+    For small graphs: a row holds all edges of an iteration.  Numbering states by this key
+    is the order in which a map of such texts lists them.
+    """
+    name = lambda c: graph.nodes.select(F.col("nid").alias(c), F.col("orig_id").alias(f"orig_{c}"))
+    named = edge_states.join(name("u"), "u").join(name("v"), "v")
+    edges = F.array_sort(F.collect_list(F.struct("orig_u", "orig_v", F.col("minus").cast("int").alias("minus"))))
+    text = F.transform(edges, lambda e: F.concat(e.orig_u.cast("string"), F.lit("-->"), e.orig_v.cast("string"), F.lit(":"), e.minus.cast("string"), F.lit(" | ")))
+    return named.groupBy("iter").agg(F.array_join(text, "").alias("state_key"))
+
+
 def cloud(keys: DataFrame, per_iteration: DataFrame, max_states: int | None = None) -> DataFrame:
     """state_key, frequency, switches of each distinct state; with max_states the best of
     them by (switches, key), in place of dropping states when memory runs short."""
@@ -77,16 +92,14 @@ def numbered(states: DataFrame) -> DataFrame:
     return states.select(number.alias("Balanced State ID"), F.col("frequency").alias("Frequency"), F.col("switches").alias("Frustration Index"))
 
 
-def subtree_sizes(trees: DataFrame) -> DataFrame:
-    """iter, node, size: nodes below and including each node, from parents alone.
+def ancestors(trees: DataFrame) -> DataFrame:
+    """iter, node, over: every node with itself and each node above it.
 
-    Every node adds one to each of its ancestors; ancestors come by doubling steps, so the
-    number of joins grows with the logarithm of the depth.
+    Steps double, so the number of joins grows with the logarithm of the depth; the rows
+    are the sum of the depths, which suits breadth-first trees.
     """
-    from signweave.functions.scratch import Scratch
-
-    scratch = Scratch(trees.sparkSession, "subtrees")
-    # reach: pairs (node, ancestor at distance 0 .. 2^k - 1); jump: ancestor at distance 2^k
+    scratch = Scratch(trees.sparkSession, "ancestors")
+    # reach: ancestors at distance 0 .. 2^k - 1; jump: the ancestor at distance 2^k
     reach = scratch.table(trees.select("iter", "node", F.col("node").alias("over")), "reach0")
     jump = scratch.table(trees.where("parent is not null").select("iter", "node", F.col("parent").alias("to")), "jump0")
     k = 0
@@ -95,4 +108,25 @@ def subtree_sizes(trees: DataFrame) -> DataFrame:
         further = reach.join(jump.select("iter", F.col("node").alias("over"), "to"), ["iter", "over"]).select("iter", "node", F.col("to").alias("over"))
         reach = scratch.table(reach.unionByName(further), f"reach{k}")
         jump = scratch.table(jump.join(jump.select("iter", F.col("node").alias("to"), F.col("to").alias("far")), ["iter", "to"]).select("iter", "node", F.col("far").alias("to")), f"jump{k}")
-    return reach.groupBy("iter", F.col("over").alias("node")).agg(F.count("*").alias("size"))
+    return reach
+
+
+def subtree_sizes(trees: DataFrame) -> DataFrame:
+    """iter, node, size: nodes below and including each node."""
+    return ancestors(trees).groupBy("iter", F.col("over").alias("node")).agg(F.count("*").alias("size"))
+
+
+def preorder_ranges(trees: DataFrame) -> DataFrame:
+    """iter, node, begin, finish: preorder numbers of each node's subtree, children by id.
+
+    A node's number is, over itself and its ancestors but the root, the sum of one and the
+    sizes of earlier siblings.
+    """
+    scratch = Scratch(trees.sparkSession, "preorder")
+    over = scratch.table(ancestors(trees), "over")
+    sizes = over.groupBy("iter", F.col("over").alias("node")).agg(F.count("*").alias("size"))
+    placed = scratch.table(trees.select("iter", "node", "parent").join(sizes, ["iter", "node"]), "placed")
+    before = F.sum("size").over(Window.partitionBy("iter", "parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
+    steps = placed.withColumn("step", F.when(F.col("parent").isNull(), 0).otherwise(1 + F.coalesce(before, F.lit(0))))
+    begins = over.join(steps.select("iter", F.col("node").alias("over"), "step"), ["iter", "over"]).groupBy("iter", "node").agg(F.sum("step").alias("begin"))
+    return placed.join(begins, ["iter", "node"]).select("iter", "node", "begin", (F.col("begin") + F.col("size") - 1).alias("finish"))

@@ -139,6 +139,22 @@ ORACLES = {
         "parents",
         more={"above": "select iter, node, node as over_node from levels union all select a.iter, a.node, p.parent from above a join parents p on p.iter = a.iter and p.node = a.over_node"},
     ),
+    "preorder_ranges": statement(
+        f"select {_ITER}, node, begin_at::bigint as begin, (begin_at + size - 1)::bigint as finish from begins join sizes_below using (iter, node)",
+        "parents",
+        more={
+            "above": "select iter, node, node as over_node from levels union all select a.iter, a.node, p.parent from above a join parents p on p.iter = a.iter and p.node = a.over_node",
+            "sizes_below": "select iter, over_node as node, count(*) as size from above group by all",
+            "steps_down": "select iter, p.node, 1 + coalesce(sum(size) over (partition by iter, parent order by p.node rows between unbounded preceding and 1 preceding), 0) as step from parents p join sizes_below using (iter, node)",
+            "begins": "select a.iter, a.node, coalesce(sum(step), 0) as begin_at from above a left join steps_down s on s.iter = a.iter and s.node = a.over_node group by all",
+        },
+    ),
+    "states_by_edge_string": statement(
+        """select row_number() over (order by state_key)::integer as "Balanced State ID", frequency as "Frequency", switches::bigint as "Frustration Index"
+        from (select state_key, count(*) as frequency, min(switches) as switches from texts join switches using (iter) group by state_key)""",
+        "switches",
+        more={"texts": "select iter, string_agg(a.orig_id || '-->' || b.orig_id || ':' || minus::integer || ' | ', '' order by a.orig_id, b.orig_id) as state_key from states join nodes a on a.nid = u join nodes b on b.nid = v group by iter"},
+    ),
     "pos_components": statement(f"select {_ITER}, node, component from components", "components", **_C),
     "cc_quotient": statement(f"select {_ITER}, a, b from quotient", "quotient", **_C),
     "cc_hops": statement(f"select {_ITER}, component, cast(hops as integer) as hops from hops", "hops", **_C),

@@ -92,6 +92,15 @@ def _subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
     return states.subtree_sizes(_events()(spark, d).trees).select(*_int("iter"), "node", "size")
 
 
+def _preorder(spark: SparkSession, d: str) -> DataFrame:
+    return states.preorder_ranges(_events()(spark, d).trees).select(*_int("iter"), "node", "begin", "finish")
+
+
+def _edge_string_states(spark: SparkSession, d: str) -> DataFrame:
+    run = _events()(spark, d)
+    return states.numbered(states.cloud(states.edge_string_keys(run.graph, run.edge_states), run.switches))
+
+
 class _Sides:
     def __init__(self, spark: SparkSession, d: str):
         self.run = _events(iterations=CONSENSUS_ITERATIONS)(spark, d)
@@ -177,6 +186,8 @@ QUERIES: dict[str, Query] = {
     "tree_edge_counts": _edge_counts("in_tree"),
     "neg_edge_counts": _edge_counts("negative"),
     "subtree_sizes": _subtree_sizes,
+    "preorder_ranges": _preorder,
+    "states_by_edge_string": _edge_string_states,
     "pos_components": _pos_components,
     "cc_quotient": _cc_quotient,
     "cc_hops": _cc_hops,
