@@ -24,7 +24,8 @@ from .blocks import runs
 
 #: Bits kept of a row's values and of a query's weights.
 ROW_BITS, QUERY_BITS = 5, 4
-ROWS, QUERIES = 32768, 256
+#: Rows and queries of a block at most, and numbers in a block of rows.
+ROWS, QUERIES, NUMBERS = 32768, 256, 1 << 22
 
 
 class Index:
@@ -155,7 +156,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, row
     whole = whole.select("id", F.transform("vec", lambda x: F.floor(x * scale).cast("long")).alias("vec"))
     table = scratch.table(whole, "rows")
     asked = scratch.table(table.where(F.pmod("id", F.lit(every)) == 0).distinct(), "asked")
-    nr, nq = max(1, -(-table.count() // rows)), max(1, -(-asked.count() // queries))
+    n, dim = table.agg(F.count("*"), F.max(F.size("vec"))).first()
+    rows = max(1, min(rows, NUMBERS // (dim or 1)))  # long vectors, smaller blocks
+    nr, nq = max(1, -(-n // rows)), max(1, -(-asked.count() // queries))
     dealt = lambda n: F.pmod(F.xxhash64("id", "vec"), F.lit(n)).cast("int")
     row_side, query_side = table.withColumn("r", dealt(nr)), asked.withColumn("q", dealt(nq))
     left = row_side.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("asks", F.lit(False))
