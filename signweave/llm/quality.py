@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .slices import Texts, mixed, slices
+from .slices import SLICE, Texts, mixed, slices
 
 BUCKETS, DIM, GRAMS, EPOCHS, RATE, SEED = 1 << 17, 10, (3, 4), 5, 0.4, 11
 #: The bucket of any repeated word.
@@ -116,16 +116,22 @@ def fit(docs: DataFrame, labels: DataFrame, train_on, label_col: str, sample: in
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.length("text") <= sample_chars)
     taken = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
-    got = taken.toArrow().sort_by("id")
-    model, rows = Model(), []
-    for batch in slices(got.to_batches()):
-        texts_of = Texts(batch.column("text"))
-        ids, at = features(texts_of)
-        for i in range(batch.num_rows):
-            rows.append(shares([x[a[i] : a[i + 1]] for x, a in zip(ids, at)]))
-    if rows:
-        model.train(rows, got.column("y").to_numpy(), epochs, rate, seed)
-    return model.table()
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, classes = [], []
+        for batch in slices(batches, most=SLICE // 8):
+            ids, at = features(Texts(batch.column("text")))
+            rows += [shares([x[a[i] : a[i + 1]] for x, a in zip(ids, at)]) for i in range(batch.num_rows)]
+            classes += batch.column("y").to_pylist()
+        if rows:
+            model = Model()
+            model.train(rows, np.array(classes), epochs, rate, seed)
+            weights, bias = model.table()
+            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
+
+    # the sample is bounded, so one task holds it; a lost one is run again, with the same result
+    learned = taken.repartition(1).sortWithinPartitions("id").mapInArrow(learn, "weights binary, bias double").collect()
+    return (np.frombuffer(learned[0].weights, np.float32), learned[0].bias) if learned else Model().table()
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], text_col: str = "text") -> DataFrame:

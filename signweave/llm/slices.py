@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once (one text that is longer makes a slice of its own).
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
