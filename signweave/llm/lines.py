@@ -3,7 +3,9 @@
 Each line goes down a tree of fixed depth: its number of tokens, then its leading tokens
 (a token with a digit is a variable field, <*>).  At a leaf, tokens that are not common
 at their place among the leaf's lines are variable fields too; what is left is the
-line's template.  Lines whose template recurs across documents are dropped.
+line's template.  Lines whose template recurs across documents are dropped, whatever
+share of a text they are; near copies of a text count as one document, so that the lines
+of a text that was copied do not recur for that alone.
 
 The tree is not held anywhere: leaves, tokens at a place and templates are keys of
 partial sums.  Only lines of leaves that recur are looked at beyond their hashes.
@@ -21,9 +23,10 @@ from pyspark.sql import functions as F
 
 from signweave.functions.scratch import Scratch
 
+from . import simhash
 from .slices import slices
 
-DEPTH, TOKENS, DOCS, CONSTANT, SHARE = 3, 4, 10, 0.5, 0.5
+DEPTH, TOKENS, DOCS, CONSTANT, SHARE = 3, 4, 10, 0.5, 1.0
 DIGIT, FIELD = re.compile(rb"[0-9]"), re.compile(rb"[^\x20\x09-\x0d]*[0-9][^\x20\x09-\x0d]*")
 
 
@@ -42,11 +45,11 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int =
     """docs with text_col less its recurring lines, and n_lines and n_dropped added.
 
     A line's template recurs if lines of min_docs different texts have it and at least the
-    share `constant` of its tokens are not fields; exact copies of a text count once.  A
-    token is constant at its place in a leaf if lines of min_docs texts have it there;
-    leading tokens without digits are.  Lines of fewer than min_tokens tokens stay.  A text of
-    which more than the share max_share of all tokens would go is a copy rather than a
-    text with boilerplate and stays whole, for a near-duplicate stage to judge.  Null texts
+    share `constant` of its tokens are not fields; exact and near copies of a text (SimHash
+    components at the near-duplicate stage's 4 bits) count once everywhere.  A token is
+    constant at its place in a leaf if lines of min_docs texts have it there; leading tokens
+    without digits are.  Lines of fewer than min_tokens tokens stay.  A text stays whole if
+    more than the share max_share of its tokens would go; at 1, all such lines go.  Null texts
     stay null and have no lines; repeated rows are treated alike, null ids as any; columns
     of docs stay, n_lines and n_dropped replace columns of these names.
     """
@@ -66,29 +69,33 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int =
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out: list[list] = [[], [], [], []]
-            for key, body, asked in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("leaves").to_pylist()):
+            out: list[list] = [[], [], [], [], []]
+            for key, copy, body, asked in zip(batch.column("key").to_pylist(), batch.column("copy").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("leaves").to_pylist()):
                 wanted, own = set(asked), {}
                 for x in body.split(b"\n"):
                     tokens, leaf = parse(x, depth)
                     if len(tokens) >= min_tokens and leaf in wanted:
                         own[b" ".join(tokens)] = leaf
                 for masked, leaf in own.items():
-                    for column, value in zip(out, (key, leaf, digest(masked), masked)):
+                    for column, value in zip(out, (key, copy, leaf, digest(masked), masked)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary()).cast(pa.string())], names=["key", "leaf", "line", "masked"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary()).cast(pa.string())], names=["key", "copy", "leaf", "line", "masked"])
 
+    # near copies count once: copy is the smallest key of a text's group
+    near = simhash.near_duplicates(keyed, most=4, words=4, id_col="key")
+    groups = scratch.table(near.select("key", F.col("component_id").alias("copy")).distinct(), "groups")
+    scratch.release()
     # leaves that recur, then the lines there, once per text
-    all_leaves = scratch.table(keyed.mapInArrow(leaves, "leaf long, key long").distinct(), "all")
-    many = scratch.table(all_leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
-    asked = scratch.table(all_leaves.join(many, "leaf").groupBy("key").agg(F.collect_set("leaf").alias("leaves")), "asked")
+    all_leaves = scratch.table(keyed.mapInArrow(leaves, "leaf long, key long").distinct().join(groups.hint("merge"), "key"), "all")
+    many = scratch.table(all_leaves.select("leaf", "copy").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
+    asked = scratch.table(all_leaves.join(many, "leaf").groupBy("key").agg(F.collect_set("leaf").alias("leaves"), F.first("copy").alias("copy")), "asked")
     scratch.drop("all")
     scratch.release()
     # merged at every size, so that the plan of a small table is that of a large one
-    there = scratch.table(keyed.join(asked.hint("merge"), "key").mapInArrow(lines, "key long, leaf long, line long, masked string").dropDuplicates(["key", "line"]), "there")
+    there = scratch.table(keyed.join(asked.hint("merge"), "key").mapInArrow(lines, "key long, copy long, leaf long, line long, masked string").dropDuplicates(["key", "line"]), "there")
     scratch.release()
     # constant tokens of each place, then each line's template
-    distinct = scratch.table(there.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("masked").alias("masked")), "distinct")
+    distinct = scratch.table(there.groupBy("leaf", "line", "copy").agg(F.first("masked").alias("masked")).groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("masked").alias("masked")), "distinct")
     tokens = distinct.select("leaf", "line", "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     counted = tokens.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
     fixed = scratch.table(counted.where((F.col("n") >= min_docs) & (F.col("token") != "<*>")).select("leaf", "place", "token", F.lit(1).alias("fixed")), "fixed")
@@ -97,8 +104,8 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int =
     shaped = parts.groupBy("leaf", "line").agg(shape.alias("shape"), F.avg(F.coalesce("fixed", F.lit(0))).alias("constant"))
     templates = scratch.table(shaped.where(F.col("constant") >= constant).select("line", F.xxhash64("leaf", F.transform("shape", lambda x: x.token)).alias("template")), "templates")
     # templates that recur, counted over texts, and each text's lines of them
-    of_text = scratch.table(there.select("key", "line").join(templates, "line"), "of_text")
-    recurring = scratch.table(of_text.select("template", "key").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template"), "recurring")
+    of_text = scratch.table(there.select("key", "copy", "line").join(templates, "line"), "of_text")
+    recurring = scratch.table(of_text.select("template", "copy").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template"), "recurring")
     gone = scratch.table(of_text.join(recurring, "template").groupBy("key").agg(F.collect_set("line").alias("gone")), "gone")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -326,6 +326,19 @@ def test_line_dedup(spark):
     assert got[0][0].asDict().keys() == {"doc_id", "text", "n_lines", "n_dropped"}
 
 
+def test_line_dedup_of_texts_that_are_mostly_boilerplate(spark):
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choices("abcdefgh", k=6))
+    notice = "Subscribe to the weekly letter for all our news"
+    rows = [(i, "\n".join([" ".join(word() for _ in range(6)), notice])) for i in range(40)]
+    copy = "\n".join(" ".join(word() for _ in range(20)) for _ in range(4))
+    rows += [(100 + i, f"{copy} x{word()}") for i in range(20)]
+    got = by_id(lines.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(got[i][0].text == t.split("\n")[0] and got[i][0].n_dropped == 1 for i, t in rows[:40])
+    # near copies are one document: their own lines do not recur
+    assert all(got[i][0].text == t for i, t in rows[40:])
+
+
 def test_mixing_meets_its_targets(spark):
     draw = random.Random(4)
     plain, odd = ["alpha", "beta", "gamma", "delta"], ["junk", "spam", "scam"]
