@@ -3,6 +3,7 @@
 Fixed values: names and identifiers of public licences.  Each family is given by the
 label, a pattern of its name, a pattern of its identifier's words.  Every family makes an
 identifier rule, a notice rule and a title rule; TEXTS are signatures of licence texts.
+A keyword, or one of those that | separates, is part of every match with the space before it.
 """
 
 from __future__ import annotations
@@ -93,32 +94,32 @@ FAMILIES = [
 
 TEXTS = [
     ("mit", 40, 1.0, "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mit", 35, 0.9, "software", r"the above copyright notice and this permission notice shall be included in all copies"),
+    ("mit", 35, 0.9, "permission", r"the above copyright notice and this permission notice shall be included in all copies"),
     ("mit-0", 36, 0.9, "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("isc", 40, 1.0, "permission", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
     ("hpnd", 38, 0.9, "permission", r"permission to use copy modify and distribute this software and its documentation for any purpose"),
-    ("bsd", 35, 0.9, "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-2-clause", 36, 0.9, "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", 35, 0.9, "redistribut", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-2-clause", 36, 0.9, "redistribut", r"redistributions in binary form must reproduce the above copyright notice"),
     ("bsd-3-clause", 37, 0.95, "endorse", r"neither the name of .{1,80}? may be used to endorse or promote products derived from this software"),
     ("bsd-4-clause", 38, 0.95, "advertising", r"all advertising materials mentioning features or use of this software must display"),
     ("apache-2.0", 40, 1.0, "apache", r"you may not use this file except in compliance with the license .{0,60}?apache org licenses license 2 0"),
     ("apache-2.0", 39, 1.0, "apache", r"www apache org licenses license 2 0"),
     ("apache-2.0", 35, 0.7, "compliance", r"you may not use this file except in compliance with the license"),
-    ("gpl", 40, 1.0, "free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("gpl-2.0", 41, 1.0, "general", r"gnu general public license as published by the free software foundation either version 2"),
-    ("gpl-3.0", 41, 1.0, "general", r"gnu general public license as published by the free software foundation either version 3"),
-    ("lgpl", 41, 1.0, "lesser", r"gnu lesser general public license as published by the free software foundation"),
-    ("agpl", 41, 1.0, "affero", r"gnu affero general public license as published by the free software foundation"),
-    ("gpl", 30, 0.8, "gnu", r"(?:http|https) (?:www )?gnu org licenses(?: old licenses)? gpl(?: [123] 0)?"),
-    ("lgpl", 30, 0.8, "gnu", r"(?:http|https) (?:www )?gnu org licenses(?: old licenses)? lgpl(?: [23] [01])?"),
-    ("mpl-2.0", 40, 1.0, "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("mpl", 30, 0.8, "mozilla", r"(?:http|https) (?:www )?mozilla org mpl(?: 2 0)?"),
-    ("epl", 30, 0.8, "eclipse", r"(?:http|https) www eclipse org legal epl(?: v10| 2 0)?"),
-    ("boost", 40, 1.0, "boost", r"distributed under the boost software license version 1 0"),
-    ("zlib", 40, 1.0, "provided", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("gpl", 40, 1.0, "redistribut", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-2.0", 41, 1.0, "general public license", r"gnu general public license as published by the free software foundation either version 2"),
+    ("gpl-3.0", 41, 1.0, "general public license", r"gnu general public license as published by the free software foundation either version 3"),
+    ("lgpl", 41, 1.0, "lesser general public license", r"gnu lesser general public license as published by the free software foundation"),
+    ("agpl", 41, 1.0, "affero general public license", r"gnu affero general public license as published by the free software foundation"),
+    ("gpl", 30, 0.8, "gnu org licenses", r"(?:http|https) (?:www )?gnu org licenses(?: old licenses)? gpl(?: [123] 0)?"),
+    ("lgpl", 30, 0.8, "gnu org licenses", r"(?:http|https) (?:www )?gnu org licenses(?: old licenses)? lgpl(?: [23] [01])?"),
+    ("mpl-2.0", 40, 1.0, "mozilla public license", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", 30, 0.8, " mpl", r"(?:http|https) (?:www )?mozilla org mpl(?: 2 0)?"),
+    ("epl", 30, 0.8, " epl", r"(?:http|https) www eclipse org legal epl(?: v10| 2 0)?"),
+    ("boost", 40, 1.0, "boost software license", r"distributed under the boost software license version 1 0"),
+    ("zlib", 40, 1.0, "warranty", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
     ("unlicense", 40, 1.0, "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", 30, 0.8, "public", r"(?:released|placed|dedicated|put) (?:in|into|to) the public domain"),
-    ("public-domain", 10, 0.4, "public", r"public domain"),
+    ("public-domain", 30, 0.8, "public domain", r"(?:released|placed|dedicated|put) (?:in|into|to) the public domain"),
+    ("public-domain", 10, 0.4, "public domain", r"public domain"),
     ("cc0-1.0", 40, 1.0, "creativecommons", r"creativecommons org publicdomain zero 1 0"),
     ("cc-by", 30, 0.9, "creativecommons", r"creativecommons org licenses by [1234] [05]"),
     ("cc-by-sa", 30, 0.9, "creativecommons", r"creativecommons org licenses by sa [1234] [05]"),
@@ -126,7 +127,7 @@ TEXTS = [
     ("cc-by-nd", 30, 0.9, "creativecommons", r"creativecommons org licenses by nd [1234] [05]"),
     ("cc-by-nc-sa", 30, 0.9, "creativecommons", r"creativecommons org licenses by nc sa [1234] [05]"),
     ("cc-by-nc-nd", 30, 0.9, "creativecommons", r"creativecommons org licenses by nc nd [1234] [05]"),
-    ("all-rights-reserved", 20, 0.6, "reserved", r"all rights reserved"),
+    ("all-rights-reserved", 20, 0.6, "rights reserved", r"all rights reserved"),
     ("proprietary", 30, 0.8, "proprietary", r"(?:confidential and proprietary|proprietary and confidential|proprietary software|proprietary license)"),
     ("copyright", 5, 0.3, "copyright", r"(?:c )?copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*"),
     ("unknown-license", 4, 0.3, "licensed", r"licensed (?:under|to|by|for)"),
@@ -135,6 +136,24 @@ TEXTS = [
 ]
 
 
+#: Of names that need not hold the word license.
+KEYWORDS = {
+    "apache-1.1": "apache",
+    "apache-2.0": "apache",
+    "gpl-1.0": " gpl|general public license",
+    "gpl-2.0": " gpl|general public license",
+    "gpl-3.0": " gpl|general public license",
+    "lgpl-2.0": " lgpl|library general public license",
+    "lgpl-2.1": " lgpl|lesser general public license",
+    "lgpl-3.0": " lgpl|lesser general public license",
+    "agpl-3.0": " agpl|affero general public license",
+    "mpl-1.1": " mpl|mozilla public license",
+    "mpl-2.0": " mpl|mozilla public license",
+    "epl-1.0": " epl|eclipse public license",
+    "epl-2.0": " epl|eclipse public license",
+}
+
+
 def rules() -> list[tuple[str, int, float, str, str]]:
     """(label, priority, confidence, keyword, pattern), in order."""
     found = list(TEXTS)
@@ -142,8 +161,8 @@ def rules() -> list[tuple[str, int, float, str, str]]:
         # a name with its version says more than the family's
         more = int(any(c.isdigit() for c in label))
         found.append((label, 30 + more, 1.0, "spdx", rf"spdx license identifier {words}"))
-        found.append((label, 20 + more, 0.95, "under", rf"(?:licensed|released|distributed|available|published|provided|covered|shared|issued|offered)(?: to you)? under (?:the |a )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?(?: version| v)?(?: [0-9]+)?(?: [0-9])?(?: only| or later)?"))
+        found.append((label, 20 + more, 0.95, "ed under |le under |ou under ", rf"(?:licensed|released|distributed|available|published|provided|covered|shared|issued|offered)(?: to you)? under (?:the |a )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?(?: version| v)?(?: [0-9]+)?(?: [0-9])?(?: only| or later)?"))
         found.append((label, 10 + more, 0.8, "licen", rf"{name} (?:public )?licen[sc]e(?: agreement)?(?: version| v)?(?: [0-9]+)?(?: [0-9])?"))
         if "license" in name:
-            found.append((label, 12 + more, 0.85, "license", name))
+            found.append((label, 12 + more, 0.85, KEYWORDS.get(label, "license"), name))
     return found

@@ -1,6 +1,6 @@
 """Licence scans with DataFrame functions alone.
 
-A text in which no trigger stands is only counted.  In the others the words are joined by
+A text that holds no rule's keyword is only counted.  In the others the words are joined by
 single spaces; a rule is tried where its keyword stands, its matches become intervals of
 words, and an interval inside another one of higher priority (of equal priority: a longer
 one, then an earlier rule's) is suppressed.  Everything happens within the row, so
@@ -14,12 +14,18 @@ from pyspark.sql import functions as F
 
 from .license_rules import rules
 
-#: What a text must hold before any rule is tried; every rule needs one of these.
-TRIGGER = r"(?i)licen[sc]|copyright|spdx|reserved|warrant|permission|redistribut|public domain|creativecommons|proprietary|compliance|unencumbered|advertising|endorse|under "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 OPEN, SHUT = "\x01", "\x02"
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+
+
+def trigger(keywords: set[str]) -> str:
+    """A pattern of raw texts whose joined words hold a keyword: gaps stand for spaces."""
+    least = sorted(k for k in keywords if not any(x in k for x in keywords - {k}))
+    inner = (k.strip().replace(" ", f"{GAP}+") for k in least)
+    return "(?i)" + "|".join((f"(?:^|{GAP})" if k.startswith(" ") else "") + x + (f"(?:{GAP}|$)" if k.endswith(" ") else "") for k, x in zip(least, inner))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,11 +38,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     greatest confidence of a detection that is not suppressed, 0 without any.  Null and
     empty texts have no words and no labels; repeated rows stay; other columns go.
     """
-    table = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence"), F.lit(keyword).alias("keyword"), F.lit(f"(?<= )(?:{pattern})(?= )").alias("rx"), F.lit(i).alias("rule")) for i, (label, priority, confidence, keyword, pattern) in enumerate(rules())))
-    keywords = F.array(*(F.lit(k) for k in sorted({r[3] for r in rules()})))
+    table = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence"), F.array(*(F.lit(k) for k in keyword.split("|"))).alias("keywords"), F.lit(f"(?<= )(?:{pattern})(?= )").alias("rx"), F.lit(i).alias("rule")) for i, (label, priority, confidence, keyword, pattern) in enumerate(rules())))
+    known = {k for r in rules() for k in r[3].split("|")}
+    keywords = F.array(*(F.lit(k) for k in sorted(known)))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    rows = rows.withColumns({"n_words": F.regexp_count("text", F.lit(ANY_CASE)).cast("long"), "open": F.col("text").rlike(TRIGGER)})
+    rows = rows.withColumns({"n_words": F.regexp_count("text", F.lit(ANY_CASE)).cast("long"), "open": F.col("text").rlike(trigger(known))})
     rows = rows.withColumn("words", F.when(F.col("open"), F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), 0)).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("joined", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).select("id", "n_words", "words", "joined")
     # base places: where the last word of a phrase is, less the words before it
@@ -46,7 +53,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             when get(words, i - 1) = 'apache' then struct(i - 1 as place, 'apache' as label)
             when get(words, i - 1) = 'public' and get(words, i - 2) = 'general' then struct(i - 2 as place, 'gpl' as label) end), x -> x is not null)""")))
     rows = rows.withColumn("present", F.filter(keywords, lambda k: F.contains(F.col("joined"), k)))
-    tried = F.filter(table, lambda r: F.array_contains("present", r.keyword) & F.regexp_like("joined", r.rx))
+    tried = F.filter(table, lambda r: F.arrays_overlap("present", r.keywords) & F.regexp_like("joined", r.rx))
     rows = rows.withColumn("tried", F.when(F.size("present") > 0, tried))
     rows = rows.withColumn("found", F.flatten(F.transform("tried", _intervals)))
     kept = F.expr("""filter(found, d -> not exists(found, e -> e.first <= d.first and e.last >= d.last and (e.priority > d.priority

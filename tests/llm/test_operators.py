@@ -166,6 +166,46 @@ def test_license_scan(spark, docs):
     assert licenses.scan(docs).count() == docs.count()
 
 
+def example(tree, draw):
+    """A text that a parsed pattern matches."""
+    out = ""
+    for op, value in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(value)
+        elif op == "ANY":
+            out += "q"
+        elif op == "IN":
+            kind, x = draw.choice(value)
+            out += chr(x if str(kind) == "LITERAL" else draw.randint(*x))
+        elif op == "BRANCH":
+            out += example(draw.choice(value[1]), draw)
+        elif op == "SUBPATTERN":
+            out += example(value[3], draw)
+        else:
+            assert op in ("MAX_REPEAT", "MIN_REPEAT"), op
+            out += "".join(example(value[2], draw) for _ in range(draw.randint(value[0], min(value[1], value[0] + 1))))
+    return out
+
+
+def test_license_gates_close_on_no_match(spark, monkeypatch):
+    from re import _parser
+
+    draw = random.Random(8)
+    found = [example(_parser.parse(r[4]), draw) for r in rules() for _ in range(4)]
+    assert all(re.fullmatch(r[4], found[4 * i + k]) for i, r in enumerate(rules()) for k in range(4))
+    found += ["released under mit", "available under the apache 2 0", "https www mozilla org mpl 2 0", "agpl 3 0", "gpl v2 or later"]
+    rows = [(n, sep.join(x.split(" ")).upper()) for n, (x, sep) in enumerate((x, sep) for x in found for sep in (" ", "\n", "\t", "-"))]
+    table = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    gated = {r.doc_id: r for r in licenses.scan(table).collect()}
+    every = [(*r[:3], " ", r[4]) for r in rules()]
+    monkeypatch.setattr(licenses, "rules", lambda: every)
+    monkeypatch.setattr(licenses, "trigger", lambda known: "")
+    ungated = {r.doc_id: r for r in licenses.scan(table).collect()}
+    assert [x for n, x in rows if gated[n] != ungated[n]] == []
+    assert all(r.detections for r in ungated.values())
+
+
 def test_substring_dedup(docs, bodies):
     words = {i: re.findall(SPACES, t or "") for i, t in enumerate(bodies)}
     least = {}
