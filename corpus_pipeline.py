@@ -33,14 +33,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id stays.
 
-    Rows that repeat that id with the same fingerprint are one document: one of them
-    stays, the first in order of text.  Rows without an id cannot be told apart and stay.
+    Of rows that repeat that id in one group one stays, the first in order of text; rows
+    of one id in several groups are several documents.  Rows without an id cannot be told
+    apart and stay.
     """
+    if repeated(docs):
+        return one_of_each(spark, docs).unionByName(docs.where("doc_id is null").select(COLUMNS))
     found = simhash.near_duplicates(docs, most=4, words=4)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = Scratch(spark, "kept").table(kept, "ids")
-    once = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]) if repeated(docs) else docs.join(kept, "doc_id")
-    return once.select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
+    return docs.join(kept, "doc_id").select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The first row, by id and text, of each group of near-duplicates that has an id.
+
+    Ids repeat, so a row is known by its id and its text's hash, null ids last; a group is
+    named by its least such pair.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("hash"))
+    marked = docs.select(COLUMNS).withColumn("own", own)
+    found = simhash.near_duplicates(marked, most=4, words=4, id_col="own")
+    kept = found.where("own.doc_id = component_id.doc_id").select("own", "component_id").distinct()
+    kept = Scratch(spark, "kept").table(kept, "ids")
+    first = F.min(F.struct(*(c for c in COLUMNS if c != "doc_id"))).alias("first")
+    return marked.join(kept, "own").groupBy("component_id").agg(first).select("component_id.doc_id", "first.*").select(COLUMNS)
 
 
 def repeated(docs: DataFrame) -> bool:

@@ -1,6 +1,7 @@
 """Every stage of the corpus pipeline against a plain version on the stage's own input."""
 
 import collections
+import random
 import zlib
 
 import numpy as np
@@ -84,6 +85,21 @@ def test_near_duplicate_stage(stages):
     assert sorted(r.doc_id for r in stages[3].collect()) == sorted(i for i in marks if want[i] == i)
 
 
+def test_near_duplicate_stage_with_repeated_ids(spark):
+    draw = random.Random(3)
+    body = lambda: " ".join("".join(draw.choices("abcdefgh", k=6)) for _ in range(3000))
+    a, b, c, d, e = (body() for _ in range(5))
+    # 2 is a near copy of 1 and a text of its own; 3 is two texts; 4 is one text twice and a near copy
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, d), (4, e), (4, e), (4, e + " end"), (None, a)]
+    marks = [fingerprint(t) for _, t in rows]
+    assert (marks[0] ^ marks[1]).bit_count() <= 4 and (marks[5] ^ marks[7]).bit_count() <= 4
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.simhash_near_dedup(spark, docs, SF)
+    assert got.columns == corpus_pipeline.COLUMNS
+    want = [(1, a), (2, b), (3, c), (3, d), (4, e), (None, a)]
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter(want)
+
+
 def test_mixing_stage(spark, stages):
     from pyspark.sql import functions as F
 
