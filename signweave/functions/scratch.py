@@ -1,17 +1,19 @@
 """Intermediate tables in the folder that every executor shares.
 
-The folder is the one the session names in ``spark.checkpoint.dir``.  Only when
-that setting is absent (tests, one machine) a folder of this process is used.
+The folder is the one the session names in ``spark.checkpoint.dir``.  Only where that
+setting is absent and the master is local (tests, one machine) is a folder of this
+process used; a cluster without the setting is an error.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own setting: an execution's shuffle files go when the execution ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -20,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="signweave-")
@@ -40,16 +45,23 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it again: lineage ends here."""
-        schema = df.schema
-        df.write.parquet(f"{self.root}/{name}")
+        """Write df and read it again: lineage ends here, and with it the shuffle files."""
+        schema, conf = df.schema, self.spark.conf
+        before = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(f"{self.root}/{name}")
+        finally:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def release(self) -> None:
-        """Let the driver's cleaner drop shuffle files of steps that are over."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+    def bytes(self, name: str) -> int:
+        """Written size of a table."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
