@@ -84,16 +84,13 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int =
     # near copies count once: copy is the smallest key of a text's group
     near = simhash.near_duplicates(keyed, most=4, words=4, id_col="key")
     groups = scratch.table(near.select("key", F.col("component_id").alias("copy")).distinct(), "groups")
-    scratch.release()
     # leaves that recur, then the lines there, once per text
     all_leaves = scratch.table(keyed.mapInArrow(leaves, "leaf long, key long").distinct().join(groups.hint("merge"), "key"), "all")
     many = scratch.table(all_leaves.select("leaf", "copy").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     asked = scratch.table(all_leaves.join(many, "leaf").groupBy("key").agg(F.collect_set("leaf").alias("leaves"), F.first("copy").alias("copy")), "asked")
     scratch.drop("all")
-    scratch.release()
     # merged at every size, so that the plan of a small table is that of a large one
     there = scratch.table(keyed.join(asked.hint("merge"), "key").mapInArrow(lines, "key long, copy long, leaf long, line long, masked string").dropDuplicates(["key", "line"]), "there")
-    scratch.release()
     # constant tokens of each place, then each line's template
     distinct = scratch.table(there.groupBy("leaf", "line", "copy").agg(F.first("masked").alias("masked")).groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("masked").alias("masked")), "distinct")
     tokens = distinct.select("leaf", "line", "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))

@@ -123,7 +123,6 @@ def near_duplicates(docs: DataFrame, most: int = 4, words: int = 4, id_col: str
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     marks = scratch.table(fingerprints(docs, words, id_col, text_col), "marks")
-    scratch.release()
     classes = scratch.table(marks.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
     masks = block_masks(most, spare_blocks(classes.count()))
     # the fingerprint stands for its class; only the tables' keys are added

@@ -110,7 +110,6 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, tables: int = TABLES,
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["id", "more", "low"])
 
     found = scratch.table(dealt(met).mapInArrow(links, "id long, more long, low long"), "found")
-    scratch.release()
     more = scratch.table(found.groupBy("id").agg(F.sum("more").alias("more")), "more")
     named = scratch.table(connected_components(found, "id", "low"), "components")
     named = scratch.table(named.join(classes.select("id", "rep"), "id"), "named")
