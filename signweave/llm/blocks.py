@@ -1,10 +1,9 @@
-"""Pairs that share a bucket, verified block by block, never listed.
+"""Pairs that share a bucket, verified group by group, never listed.
 
-Rows that share (t, key) meet in groups of at most two blocks of about BLOCK rows: a
-larger bucket is dealt into blocks and each pair of its blocks makes a group, so no task
-holds a whole bucket.  A kernel compares the rows of a group and gives back, for each
-row, the smallest id that it hangs together with inside the group: as many rows as the
-group has, whatever the number of pairs.
+Rows that share (t, key) meet.  A bucket of more than HOT rows is split into finer ones
+where the caller knows an exact way; what is still larger than BLOCK is dealt into
+blocks, and each pair of its blocks makes a group, so no task holds a whole bucket.
+Pairs of small groups are compared all at once, larger groups strip by strip.
 """
 
 from __future__ import annotations
@@ -18,17 +17,33 @@ from pyspark.sql import functions as F
 
 from signweave.functions.scratch import Scratch
 
-BLOCK = 1024
+#: Rows of a block, rows beyond which a bucket is split, and rows of a small group.
+BLOCK, HOT, SMALL, STRIP = 2048, 4096, 16, 256
 
 
-def grouped(entries: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+def grouped(entries: DataFrame, scratch: Scratch, finer: list[Callable[[DataFrame], DataFrame]] = [], block: int = BLOCK, hot: int = HOT) -> DataFrame:  # noqa: B006
     """entries (t int, key long, id long): those that share a bucket with another, once
-    for each group that they belong to: t, key, id, b (own block), lo, hi (the group's)."""
-    sizes = scratch.table(entries.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    m = F.ceil(F.col("n") / block).cast("int")
-    met = entries.join(sizes, ["t", "key"]).withColumn("m", m).withColumn("b", F.pmod(F.xxhash64("id"), "m").cast("int"))
-    each = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    return each.select("t", "key", "id", "b", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"))
+    for each group that they belong to: t, key, id, b (own block), lo, hi (the group's).
+
+    finer[k] turns the entries of hot buckets into entries of finer buckets, in which every
+    pair that matters still meets.
+    """
+    parts = []
+    for level in range(len(finer) + 1):
+        sizes = scratch.table(entries.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), f"sizes-{level}")
+        met = entries.join(sizes, ["t", "key"])
+        done = level == len(finer) or sizes.where(F.col("n") > hot).isEmpty()
+        m = F.ceil(F.col("n") / block).cast("int")
+        here = (met if done else met.where(F.col("n") <= hot)).withColumn("m", m).withColumn("b", F.pmod(F.xxhash64("id"), "m").cast("int"))
+        each = here.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        parts.append(each.select("t", "key", "id", "b", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi")))
+        if done:
+            break
+        entries = scratch.table(finer[level](met.where(F.col("n") > hot).select("t", "key", "id")), f"entries-{level + 1}")
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def dealt(groups: DataFrame) -> DataFrame:
@@ -38,18 +53,26 @@ def dealt(groups: DataFrame) -> DataFrame:
 
 def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("t", "key", "lo", "hi")) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Whole groups: a batch, and where its groups start, and its end."""
-    rest: pa.Table | None = None
+    rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        whole = table.combine_chunks().to_batches()[0]
-        cuts = bounds(whole, keys)
+        cuts = bounds(batch, keys)
+        if rest and len(cuts) == 2 and same(rest[-1], batch, keys):
+            rest.append(batch)  # a group that goes on is not joined again each time
+            continue
+        whole = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0] if rest else batch
+        cuts = bounds(whole, keys) if rest else cuts
         if len(cuts) > 2:
             yield whole.slice(0, int(cuts[-2])), cuts[:-1]
-        rest = pa.Table.from_batches([whole.slice(int(cuts[-2]))])
-    if rest is not None and rest.num_rows:
-        yield rest.combine_chunks().to_batches()[0], np.array([0, rest.num_rows])
+        rest = [whole.slice(int(cuts[-2]))]
+    if rest:
+        whole = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+        yield whole, np.array([0, whole.num_rows])
+
+
+def same(a: pa.RecordBatch, b: pa.RecordBatch, keys: tuple[str, ...]) -> bool:
+    return all(a.column(k)[-1] == b.column(k)[0] for k in keys)
 
 
 def bounds(batch: pa.RecordBatch, keys: tuple[str, ...]) -> np.ndarray:
@@ -66,7 +89,7 @@ def lowest(linked: np.ndarray) -> np.ndarray:
     n = len(linked)
     labels = np.arange(n)
     while True:
-        offered = np.where(linked, labels[None, :], n).min(axis=1)
+        offered = np.concatenate([np.where(linked[a : a + STRIP], labels[None, :], n).min(axis=1) for a in range(0, n, STRIP)])
         new = np.minimum(labels, offered)
         new = new[new]
         if (new == labels).all():
@@ -74,30 +97,50 @@ def lowest(linked: np.ndarray) -> np.ndarray:
         labels = new
 
 
-def linked_stars(groups: DataFrame, compare: Callable, columns: tuple[str, ...]) -> DataFrame:
-    """(id, low): links from each row to the lowest id of its part of the group.
+def links(batch: pa.RecordBatch, cuts: np.ndarray, pairwise: Callable, crosswise: Callable) -> Iterator[tuple[np.ndarray, np.ndarray] | tuple[int, np.ndarray]]:
+    """The links of a batch of groups: for all small groups (i, j), the linked rows; for
+    each larger group (a, matrix), its first row and its symmetric matrix of links.
 
-    compare(arrays of columns of one group) gives the matrix of links.
+    pairwise(i, j) judges pairs of rows, crosswise(a, b, c, d) rows a to b against c to d.
+    Rows of one block are not compared again in the groups of two blocks.
     """
+    own, cross = batch.column("b").to_numpy(), batch.column("lo").to_numpy() != batch.column("hi").to_numpy()
+    sizes = np.diff(cuts)
+    for n in range(2, SMALL + 1):
+        begin = cuts[:-1][sizes == n]
+        if len(begin):
+            i, j = (np.add.outer(begin, x).ravel() for x in np.triu_indices(n, 1))
+            meant = ~cross[i] | (own[i] != own[j])
+            i, j = i[meant], j[meant]
+            near = pairwise(i, j)
+            if near.any():
+                yield i[near], j[near]
+    for a, b in zip(cuts[:-1][sizes > SMALL].tolist(), cuts[1:][sizes > SMALL].tolist()):
+        linked = np.concatenate([crosswise(s, min(b, s + STRIP), a, b) for s in range(a, b, STRIP)])
+        if cross[a]:
+            linked &= own[a:b, None] != own[None, a:b]
+        np.fill_diagonal(linked, False)
+        if linked.any():
+            yield a, linked
+
+
+def linked_stars(groups: DataFrame, pairwise: Callable, crosswise: Callable) -> DataFrame:
+    """(id, low): links that hang the same ids together as all pairs that are judged close;
+    pairwise and crosswise take the arrays of ids on both sides."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, cuts in runs(batches):
-            ids, own = batch.column("id").to_numpy(), batch.column("b").to_numpy()
-            cross = batch.column("lo").to_numpy() != batch.column("hi").to_numpy()
-            arrays = [batch.column(c) for c in columns]
+            ids = batch.column("id").to_numpy()
             found_a, found_b = [], []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if b - a < 2:
-                    continue
-                linked = compare(*(x.slice(a, b - a) for x in arrays))
-                if cross[a]:
-                    linked = linked & (own[a:b, None] != own[None, a:b])
-                np.fill_diagonal(linked, False)
-                if linked.any():
-                    low = lowest(linked)
-                    moved = np.flatnonzero(low != np.arange(b - a))
-                    found_a.append(ids[a:b][moved])
-                    found_b.append(ids[a:b][low[moved]])
+            for x, y in links(batch, cuts, lambda i, j: pairwise(ids[i], ids[j]), lambda a, b, c, d: crosswise(ids[a:b], ids[c:d])):  # noqa: B023
+                if isinstance(x, np.ndarray):
+                    found_a.append(ids[y])
+                    found_b.append(ids[x])
+                else:
+                    low = lowest(y)
+                    moved = np.flatnonzero(low != np.arange(len(low)))
+                    found_a.append(ids[x + moved])
+                    found_b.append(ids[x + low[moved]])
             if found_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["id", "low"])
 

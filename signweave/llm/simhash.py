@@ -3,7 +3,9 @@
 Fingerprints are 64 bits over word shingles.  Equal fingerprints form a class; classes
 whose fingerprints differ in at most `most` bits agree wholly on all but `most` of the
 blocks that the 64 bits are split into, so each choice of the agreeing blocks is a
-table, rows that share a table's key meet, and the Hamming distance decides.
+table, rows that share a table's key meet, and the Hamming distance decides.  A table's
+bucket that is too large is split by the same principle: the bits outside its key make
+most + 1 blocks, of which close pairs share one.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from signweave.functions.scratch import Scratch
 from signweave.operators.components import connected_components
 
-from .blocks import grouped, linked_stars
+from .blocks import HOT, grouped, linked_stars
 from .slices import Texts, slices
 
 SEED = 42
@@ -86,7 +88,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
     return rows.mapInArrow(mark, f"id {kind}, fp long")
 
 
-def block_masks(most: int, spare: int) -> list[int]:
+def block_masks(most: int, spare: int = 2) -> list[int]:
     """Masks of `spare` whole blocks out of most + spare: close pairs agree under one at least."""
     n = most + spare
     cuts = [64 * i // n for i in range(n + 1)]
@@ -94,25 +96,44 @@ def block_masks(most: int, spare: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(blocks, spare)]
 
 
-def spare_blocks(classes: int) -> int:
-    """Blocks that must agree: the keys grow with the corpus, so buckets do not."""
-    return 2 if classes < 1 << 23 else 3 if classes < 1 << 31 else 4
+def finer_masks(masks: list[int], most: int) -> list[int]:
+    """Each mask with one of the most + 1 blocks of the bits outside it: close pairs that
+    agree under a mask agree under one of these; those of mask t stand from t * (most + 1)."""
+    found = []
+    for mask in masks:
+        free = [b for b in range(64) if not mask >> b & 1]
+        cuts = [len(free) * i // (most + 1) for i in range(most + 2)]
+        found += [mask | sum(1 << b for b in free[x:y]) for x, y in zip(cuts, cuts[1:])]
+    return found
 
 
-def masked(fp: Column, mask: int) -> Column:
-    signed = mask - (1 << 64) if mask >> 63 else mask
-    return fp.bitwiseAND(F.lit(signed).cast("long"))
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def close(most: int):
-    def compare(fps: pa.Array) -> np.ndarray:
-        x = fps.to_numpy().view(np.uint64)
-        return np.bitwise_count(x[:, None] ^ x[None, :]) <= most
+def under(masks: list[int], t: Column, fp: Column) -> Column:
+    """fp under the mask of number t."""
+    return fp.bitwiseAND(F.get(F.array(*(F.lit(signed(m)).cast("long") for m in masks)), t))
 
-    return compare
 
+def components(classes: DataFrame, most: int, scratch: Scratch, hot: int = HOT) -> DataFrame:
+    """(fp, component) of the distinct fingerprints that have a close one; component is the
+    smallest fingerprint, as a signed number, that hangs together with it."""
+    masks = block_masks(most)
+    each = lambda rows, first, masks: rows.withColumn("t", F.explode(first)).select("t", under(masks, F.col("t"), F.col("id")).alias("key"), "id")
+    entries = each(classes.select(F.col("fp").alias("id")), F.sequence(F.lit(0), F.lit(len(masks) - 1)), masks)
+    finer, level = [], masks
+    for _ in range(2):
+        level = finer_masks(level, most)
+        begin = F.col("t") * (most + 1)
+        finer.append(lambda rows, begin=begin, level=level: each(rows, F.sequence(begin, begin + most), level))
+    close = lambda x, y: np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= most
+    found = linked_stars(grouped(entries, scratch, finer, hot=hot), close, lambda x, y: close(x[:, None], y[None, :]))
+    pairs = scratch.table(found.distinct(), "links")
+    return connected_components(pairs, "id", "low").withColumnRenamed("id", "fp")
 
-def near_duplicates(docs: DataFrame, most: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def near_duplicates(docs: DataFrame, most: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hexadecimal digits), component_id.
 
     component_id is the smallest id whose fingerprint is reached by steps of at most
@@ -120,21 +141,15 @@ def near_duplicates(docs: DataFrame, most: int = 4, words: int = 4, id_col: str
     together like any others.  Repeated rows stay, with equal results; a null id is never
     a component's smallest id unless all of its ids are null.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
+    scratch = Scratch(docs.sparkSession, "simhash")
     marks = scratch.table(fingerprints(docs, words, id_col, text_col), "marks")
     classes = scratch.table(marks.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    masks = block_masks(most, spare_blocks(classes.count()))
-    # the fingerprint stands for its class; only the tables' keys are added
-    keys = F.array(*(masked(F.col("fp"), m) for m in masks))
-    entries = classes.select("fp", F.posexplode(keys).alias("t", "key")).select("t", "key", F.col("fp").alias("id"))
-    links = linked_stars(grouped(entries, scratch), close(most), ("id",))
     # links are between fingerprints; components are numbered by the smallest id
-    found = connected_components(scratch.table(links.distinct(), "links"), "id", "low")
-    named = found.join(classes, found.id == classes.fp).select("fp", "component", "rep")
+    named = scratch.table(components(classes, most, scratch, hot).join(classes, "fp"), "named")
     least = scratch.table(named.groupBy("component").agg(F.min("rep").alias("least")), "least")
-    moved = scratch.table(scratch.table(named, "named").join(least, "component").select("fp", "least"), "moved")
+    moved = scratch.table(named.join(least, "component").select("fp", "least"), "moved")
     whole = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     placed = marks.join(scratch.table(whole, "whole"), "fp")
+    scratch.drop("classes", "named", "least", "moved", "links")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return placed.select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from signweave.functions.scratch import Scratch
 from signweave.operators.components import connected_components
 
-from .blocks import dealt, grouped, lowest, runs
+from .blocks import dealt, grouped, links, lowest, runs
 from .slices import mixed
 
 #: For a cosine of 0.98 (distance 0.2 of unit vectors) one projection agrees with
@@ -77,39 +77,52 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, tables: int = TABLES,
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(found.ravel().view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy()[at], tables))], names=["t", "key", "id"])
 
     salted = classes.select("id", F.xxhash64("label", F.size("vec")).alias("salt"), "vec")
-    entries = salted.mapInArrow(keys, "t int, key long, id long")
-    met = grouped(entries, scratch).join(scratch.table(salted.join(classes.select("id", "copies"), "id"), "bodies"), "id")
+    entries = scratch.table(salted.mapInArrow(keys, "t int, key long, id long"), "entries")
+    bodies = scratch.table(salted.join(classes.select("id", "copies"), "id"), "bodies")
+    met = grouped(entries, scratch).join(bodies, "id")
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, cuts in runs(batches):
-            ids, own, copies = (batch.column(c).to_numpy() for c in ("id", "b", "copies"))
-            salt, ts = batch.column("salt").to_numpy(), batch.column("t").to_numpy()
-            cross = batch.column("lo").to_numpy() != batch.column("hi").to_numpy()
+            ids, copies, salt, ts = (batch.column(c).to_numpy() for c in ("id", "copies", "salt", "t"))
+            units, dims = padded(batch.column("vec"))
+            alike = lambda a, b: (salt[a] == salt[b]) & (dims[a] == dims[b])  # noqa: B023, E731
+            pairwise = lambda i, j: alike(i, j) & (np.einsum("ij,ij->i", units[i], units[j]) >= cosine)  # noqa: B023, E731
+            crosswise = lambda a, b, c, d: alike(np.s_[a:b, None], np.s_[None, c:d]) & (units[a:b] @ units[c:d].T >= cosine)  # noqa: B023, E731
+            known: dict[int, np.ndarray] = {}
+
+            def earlier(rows: np.ndarray) -> np.ndarray:
+                """Keys of rows in all tables; a row's are computed when first asked for."""
+                new = np.array([r for r in rows.tolist() if r not in known], np.int64)  # noqa: B023
+                for dim in np.unique(dims[new]).tolist():  # noqa: B023
+                    own = new[dims[new] == dim]  # noqa: B023
+                    known.update(zip(own.tolist(), table_keys(units[own, :dim], tables, projections, width, seed)))  # noqa: B023
+                return np.array([known[r] for r in rows.tolist()]).reshape(len(rows), tables)  # noqa: B023
+
             out: list[list[np.ndarray]] = [[], [], []]
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                lists = batch.column("vec").slice(a, b - a)
-                for dim, at, units in by_dim(lists):
-                    if len(at) < 2:
-                        continue
-                    at = at + a
-                    near = (units @ units.T >= cosine) & (salt[at, None] == salt[None, at])
-                    np.fill_diagonal(near, False)
-                    if cross[a]:
-                        near &= own[at, None] != own[None, at]
-                    if not near.any():
-                        continue
-                    low = lowest(near)
-                    if t := int(ts[a]):
-                        earlier = table_keys(units, tables, projections, width, seed)[:, :t]
+            for x, y in links(batch, cuts, pairwise, crosswise):
+                if isinstance(x, np.ndarray):
+                    rows, where = np.unique(np.concatenate([x, y]), return_inverse=True)
+                    key, i, j = earlier(rows), where[: len(x)], where[len(x) :]
+                    met_before = (key[i] == key[j]) & (np.arange(tables)[None, :] < ts[x, None])
+                    first = ~met_before.any(axis=1)
+                    for a, b in ((x, y), (y, x)):
+                        out[0].append(ids[a])
+                        out[1].append(np.where(first, copies[b], 0))
+                        out[2].append(ids[np.minimum(a, b)])
+                else:
+                    n, low, t = len(y), lowest(y), int(ts[x])
+                    if t:
+                        key = earlier(np.arange(x, x + n))
                         for k in range(t):
-                            near &= earlier[:, None, k] != earlier[None, :, k]
-                    out[0].append(ids[at])
-                    out[1].append(near @ copies[at])
-                    out[2].append(ids[at][low])
+                            y &= key[:, None, k] != key[None, :, k]
+                    out[0].append(ids[x : x + n])
+                    out[1].append(y @ copies[x : x + n])
+                    out[2].append(ids[x + low])
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["id", "more", "low"])
 
-    found = scratch.table(dealt(met).mapInArrow(links, "id long, more long, low long"), "found")
+    found = scratch.table(dealt(met).mapInArrow(links_of, "id long, more long, low long"), "found")
+    scratch.drop("entries", "bodies", "sizes-0")
     more = scratch.table(found.groupBy("id").agg(F.sum("more").alias("more")), "more")
     named = scratch.table(connected_components(found, "id", "low"), "components")
     named = scratch.table(named.join(classes.select("id", "rep"), "id"), "named")
@@ -131,3 +144,12 @@ def by_dim(lists: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = np.flatnonzero(sizes == dim)
         whole = flat if len(at) == len(sizes) else np.concatenate([flat[starts[i] : starts[i + 1]] for i in at])
         yield dim, at, unit(whole, dim)
+
+
+def padded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, the shorter filled up with zeros, and their lengths."""
+    dims = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(dims), int(dims.max(initial=0))))
+    for dim, at, units in by_dim(lists):
+        out[at, :dim] = units
+    return out, dims
