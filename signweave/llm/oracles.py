@@ -1,13 +1,11 @@
 """DuckDB statements for the operators that SQL can express.
 
-Byte-pair encoding, SimHash's hash function, trained models and hundreds of licence
-patterns are beyond it; those operators are held against plain versions in the tests.
+Byte-pair encoding, SimHash's hash function (line dedup needs it, too), trained models and
+hundreds of licence patterns are beyond it; those operators are held against plain versions in the tests.
 """
 
 from __future__ import annotations
 
-from .lines import CONSTANT, DEPTH, DOCS, SHARE, TOKENS
-
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '')"
 
 OP4 = f"""
@@ -40,29 +38,4 @@ scores as (select q.vec_id as query_id, c.vec_id, sum(q.x * c.x)::bigint as scor
 select query_id, rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from scores) where rank <= 5
 """
 
-_FIELD = r"[^ \t\n\v\f\r]*[0-9][^ \t\n\v\f\r]*"
-_TOKENS = r"list_filter(string_split_regex(regexp_replace(line, '" + _FIELD + r"', '<*>', 'g'), '[ \t\n\v\f\r]+'), lambda x: x <> '')"
-
-OP9 = f"""
-with texts as (select distinct text from documents where text is not null),
-split as (select text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from texts),
-parsed as (select text, i, line, {_TOKENS} as tokens from split),
-keyed as (select *, len(tokens) as n, len(tokens)::varchar || ' ' || array_to_string(tokens[1 : {DEPTH}], ' ') as leaf, array_to_string(tokens, ' ') as masked from parsed),
-leaves as (select leaf from keyed where n >= {TOKENS} group by leaf having count(distinct text) >= {DOCS}),
-there as (select distinct text, leaf, masked, n, tokens from keyed join leaves using (leaf) where n >= {TOKENS}),
-counted as (select leaf, masked, any_value(n) as n, any_value(tokens) as tokens, count(*) as texts from there group by leaf, masked),
-places as (select leaf, masked, n, texts, unnest(tokens) as token, unnest(range(len(tokens))) as place from counted),
-fixed as (select leaf, place, token from places where token <> '<*>' group by all having sum(texts) >= {DOCS}),
-shaped as (select leaf, masked, string_agg(case when f.token is null then '<*>' else p.token end, ' ' order by place) as template, count(f.token) / count(*) as share
-    from places p left join fixed f using (leaf, place, token) group by leaf, masked),
-of_text as (select text, leaf, masked, template from there join shaped using (leaf, masked) where share >= {CONSTANT}),
-recurring as (select leaf, template from of_text group by all having count(distinct text) >= {DOCS}),
-gone as (select distinct masked from of_text join recurring using (leaf, template)),
-judged as (select k.text, i, line, n, g.masked is not null and n >= {TOKENS} as goes from keyed k left join gone g using (masked)),
-found as (select text, count(*) as n_lines, sum(case when goes then n else 0 end) > {SHARE} * sum(n) as whole, count(*) filter (goes) as n_gone,
-    coalesce(string_agg(line, chr(10) order by i) filter (not goes), '') as kept from judged group by text)
-select doc_id, coalesce(n_lines, 0) as n_lines, case when whole then 0 else coalesce(n_gone, 0) end as n_dropped,
-    sha256(case when whole then d.text else kept end) as kept_sha256 from documents d left join found f on f.text = d.text
-"""
-
-ORACLES = {"op4_substring_dedup": OP4, "op5_embedding_near_dedup": OP5, "op6_exact_top_k": OP6, "op9_line_dedup": OP9}
+ORACLES = {"op4_substring_dedup": OP4, "op5_embedding_near_dedup": OP5, "op6_exact_top_k": OP6}
