@@ -50,7 +50,7 @@ class Scratch:
         before = conf.get(CLEANUP, None)
         conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(f"{self.root}/{name}")
+            df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         finally:
             conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
