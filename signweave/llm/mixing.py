@@ -1,14 +1,18 @@
 """Mixing documents to target domain weights, with DataFrame functions alone.
 
 A naive Bayes classifier over tokens, fitted on a bounded sample of the labelled table,
-gives every document a soft membership in each domain.  The rates of documents are
-the nonnegative least-squares fit of the expected domain token totals to the targets, by
-projected gradient steps from rate one: in the metric that weighs a document by its
-tokens, a step lowers a document's rate by its memberships times the domains' relative
-excess, and nothing else of the document matters.  Memberships are whole 256ths, so the
-sums that each step needs are over a table of membership cells whose size is bounded by
-the number of domains, whatever the corpus, and a document's rate is a short expression
-of its own memberships.
+gives every document its evidence for each domain.  Evidence of many tokens that tell the
+same fact is too sure of itself, so it is calibrated: documents fall into cells by the
+likeliest domain and by how far the next one is behind, and the memberships of a cell are
+the domains' shares among the labelled documents in it, each judged by a classifier fitted
+without its part of the sample.
+
+The rates of documents are the nonnegative least-squares fit of the expected domain token
+totals to the targets, by projected gradient from rate one.  In the metric that weighs a
+document by its tokens a step lowers a document's rate by its memberships times the
+domains' excess, which is the same for all documents of a cell.  So the sums over documents
+are made once, by cell, on all executors; what the steps run over is bounded by the number
+of domains, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -18,48 +22,77 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signweave.functions.mixhash import bound
 from signweave.functions.scratch import Scratch
 
-#: Places in the classifier's table of tokens, the bounded sample of labelled rows, steps of
-#: the gradient, and when to stop.
-PLACES, SAMPLE, STEPS, ENOUGH = 1 << 13, 20_000, 60, 1e-6
+#: Places in the classifier's table of tokens, and the bounded sample of labelled rows.
+PLACES, SAMPLE = 1 << 13, 20_000
 #: A token tells something if so many documents of the sample have it, its log odds are so
-#: far from even, and the root of its likelihood ratio is so high: weak evidence is mostly
-#: one fact (the language, a group of near copies) told by every token again.
-LEAST_DOCS, STRONG, CLEAR = 20, 1.0, 8.0
-UNITS = 256
-TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
+#: far from even, and the root of its likelihood ratio is so high.
+LEAST_DOCS, STRONG, CLEAR = 4, 1.0, 4.0
+#: Parts of the sample, each judged by a classifier fitted on the others.
+PARTS = 4
+#: Levels of a cell's margin, and how many make one unit of evidence.
+LEVELS, FINE = 32, 4
+#: The gradient ends when no domain's expected share moves by more in a step; after so many
+#: steps at the latest; and shares so near to the targets count as reached.
+STILL, STEPS, NEAR = 1e-12, 100_000, 0.005
+PUNCTUATION, SPACE = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", r"[\x00-\x20]+"
 
 
 def tokens_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(TOKEN), 0)
+    """Words and runs of punctuation, lower-case."""
+    spaced = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(PUNCTUATION), F.lit(" $0 "))
+    return F.filter(F.split(spaced, SPACE, -1), lambda t: t != "")
+
+
+def marks_of(hashes: Column) -> Column:
+    """The distinct hashes of a text's tokens, and two more: of the share of tokens that
+    are distinct, in eighths, and of the magnitude of their number."""
+
+    def with_shape(distinct: Column) -> Column:
+        n = F.size(hashes)
+        share = F.floor(F.size(distinct) * 8 / F.greatest(n, F.lit(1)))
+        return F.concat(distinct, F.array(F.xxhash64(F.lit("\x00distinct"), share), F.xxhash64(F.lit("\x00number"), F.floor(F.log2(n + F.lit(1))))))
+
+    return bound(F.array_distinct(hashes), with_shape)
 
 
 class Model:
     """Evidence for each domain but the first, against the first.
 
     known: the hash of the token at each place (0: none); odds: by domain, the log odds at
-    each place; none: by domain, the log odds of a text without any token that speaks for
-    it; prior: by domain, of any text.
+    each place; prior: by domain, of any text.  shares: memberships of each cell, by
+    domain (set by calibration).
     """
 
-    def __init__(self, domains: list[str], places: int):
+    def __init__(self, domains: list[str], places: int, prior: list[float] | None = None):
         self.domains, self.places = domains, places
         self.known = [0] * places
         self.odds = [[0.0] * places for _ in domains[1:]]
-        self.none, self.prior = [0.0] * (len(domains) - 1), [0.0] * (len(domains) - 1)
+        self.prior = prior or [0.0] * (len(domains) - 1)
+        self.shares = [[1 / len(domains)] * len(domains) for _ in range(len(domains) * LEVELS)]
+
+    def cell(self, marks: Column) -> Column:
+        """Number of the likeliest domain times LEVELS, and the level of its margin."""
+        known, odds = constant(self.known, "bigint"), [constant(o, "double") for o in self.odds]
+        at = lambda h: F.pmod(h, F.lit(self.places)).cast("int")
+        hits = F.filter(marks, lambda h: F.get(known, at(h)) == h)
 
-    def hits(self, text: Column) -> Column:
-        """Hashes of the distinct known tokens of a text."""
-        known = constant(self.known, "bigint")
-        hashes = F.transform(tokens_of(text), lambda t: F.xxhash64(t))
-        return F.array_distinct(F.filter(hashes, lambda h: F.get(known, F.pmod(h, F.lit(self.places)).cast("int")) == h))
+        def told(hits: Column, prior: float, odds: Column) -> Column:
+            return F.aggregate(hits, F.lit(prior), lambda total, h: total + F.get(odds, at(h)))
 
-    def evidence(self, hits: Column, k: int) -> Column:
-        odds = constant(self.odds[k], "double")
-        at = lambda h: F.get(odds, F.pmod(h, F.lit(self.places)).cast("int"))
-        told = F.aggregate(hits, F.lit(0.0), lambda total, h: total + at(h))
-        return F.lit(self.prior[k]) + told + F.when(F.exists(hits, lambda h: at(h) > 0), F.lit(0.0)).otherwise(F.lit(self.none[k]))
+        def judged(hits: Column) -> Column:
+            evidence = F.array(F.lit(0.0), *(told(hits, p, o) for p, o in zip(self.prior, odds)))
+            return bound(evidence, lambda e: placed(e, F.array_sort(e)))
+
+        def placed(e: Column, ordered: Column) -> Column:
+            n = len(self.domains)
+            margin = bound(ordered, lambda s: F.get(s, F.lit(n - 1)) - F.get(s, F.lit(max(0, n - 2))))
+            level = F.least(F.lit(LEVELS - 1), F.floor(margin * FINE).cast("int"))
+            return (F.array_position(e, F.array_max(e)).cast("int") - 1) * LEVELS + level
+
+        return bound(hits, judged)
 
 
 def constant(numbers: list, kind: str) -> Column:
@@ -68,125 +101,139 @@ def constant(numbers: list, kind: str) -> Column:
 
 
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], places: int = PLACES, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Naive Bayes over the tokens that a document has, by numbers of documents.
+    """A calibrated model.
 
     labelled has id_col and domain.  Of its rows with a known domain and an id, those of
-    lowest hash of the id are the sample; an id with several domains counts for the first
-    in order.  Equal texts of a domain count once.  A domain without examples, and every
-    domain if the first has none, has even odds.
+    lowest hash of the id are the sample, as many of each domain at most, and count in
+    proportion to all of the domain's; an id with several domains counts for the first in
+    order.  Equal texts of a domain count once.  Without any example all domains are alike.
     """
-    model, others = Model(domains, places), domains[1:]
+    scratch = Scratch(docs.sparkSession, "labelled")
     known = labelled.where(F.col("domain").isin(domains) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("domain").alias("domain"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # so many rows at most
+    known = scratch.table(known, "known")
+    whole = {r.domain: r["count"] for r in known.groupBy("domain").count().collect()}
+    each = [known.where(F.col("domain") == d).orderBy(F.xxhash64("id"), "id").limit(max(1, sample // len(domains))) for d in domains]
+    chosen = each[0]
+    for more in each[1:]:
+        chosen = chosen.unionByName(more)  # so many rows at most
     joined = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
-    texts = Scratch(docs.sparkSession, "labelled").table(joined.groupBy("domain", F.xxhash64("text").alias("key")).agg(F.min("text").alias("text")).select("domain", "text"), "texts")
-    sizes = {r.domain: r["count"] for r in texts.groupBy("domain").count().collect()}
-    total = sum(sizes.values()) + len(domains)
-    prior = [math.log((sizes.get(d, 0) + 1) / total) for d in domains]
+    distinct = joined.groupBy("domain", F.xxhash64("text").alias("key")).agg(F.min("text").alias("text"))
+    marks = marks_of(F.transform(tokens_of(F.col("text")), lambda t: F.xxhash64(t)))
+    texts = scratch.table(distinct.select("domain", F.pmod("key", F.lit(PARTS)).alias("part"), marks.alias("marks")), "texts")
+    n = {(r.domain, r.part): r["count"] for r in texts.groupBy("domain", "part").count().collect()}
+    if not n:
+        return Model(domains, places)
+    tokens = texts.select("domain", "part", F.explode("marks").alias("h"))
+    by = [F.sum(((F.col("domain") == d) & (F.col("part") == f)).cast("long")).alias(f"n{k}_{f}") for k, d in enumerate(domains) for f in range(PARTS)]
+    counted = scratch.table(tokens.groupBy("h").agg(F.count("*").alias("n"), *by).where(F.col("n") >= LEAST_DOCS), "counted")
+    # labelled documents that each one of the sample stands for
+    sampled = {d: sum(n.get((d, f), 0) for f in range(PARTS)) for d in domains}
+    weight = {d: whole.get(d, 0) / sampled[d] if sampled[d] else 0.0 for d in domains}
+    model = _bayes(counted, n, weight, domains, places, list(range(PARTS)))
+    judges = [_bayes(counted, n, weight, domains, places, [g for g in range(PARTS) if g != f]) for f in range(PARTS)]
+    cell = F.coalesce(*(F.when(F.col("part") == f, judge.cell(F.col("marks"))) for f, judge in enumerate(judges)))
+    found: dict[tuple[int, str], float] = {}
+    for r in texts.groupBy("domain", cell.alias("cell")).count().collect():
+        found[r.cell, r.domain] = found.get((r.cell, r.domain), 0.0) + r["count"] * weight[r.domain]
+    # neighbouring levels count by half for each step between; half a document of the whole's shares
+    total = sum(whole.values())
+    for cell in range(len(model.shares)):
+        own = [0.5 * whole.get(d, 0) / total for d in domains]
+        for near in range(cell // LEVELS * LEVELS, (cell // LEVELS + 1) * LEVELS):
+            for k, d in enumerate(domains):
+                own[k] += found.get((near, d), 0.0) * 0.5 ** abs(near - cell)
+        model.shares[cell] = [x / sum(own) for x in own]
+    return model
+
+
+def _bayes(counted: DataFrame, n: dict, weight: dict, domains: list[str], places: int, parts: list[int]) -> Model:
+    """Naive Bayes on these parts of the sample, over numbers of documents."""
+    model, sizes = Model(domains, places), [sum(n.get((d, f), 0) for f in parts) for d in domains]
+    prior = [math.log(size * weight[d] + 0.5) for size, d in zip(sizes, domains)]
     model.prior = [round(p - prior[0], 6) for p in prior[1:]]
-    if not sizes.get(domains[0]):
-        return model
-    tokens = texts.select("domain", F.explode(F.array_distinct(F.transform(tokens_of(F.col("text")), lambda t: F.xxhash64(t)))).alias("h"))
-    by = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{k}") for k, d in enumerate(domains)]
-    counted = tokens.groupBy("h").agg(*by).where(sum((F.col(f"n{k}") for k in range(len(domains))), F.lit(0)) >= LEAST_DOCS)
-    telling, clearest = [], []
-    for k, d in enumerate(others, 1):
-        if not sizes.get(d):
+    own = [sum((F.col(f"n{k}_{f}") for f in parts), F.lit(0)) for k in range(len(domains))]
+    telling, clearest = {}, []
+    for k in range(1, len(domains)):
+        if not sizes[k] or not sizes[0]:
             continue
-        here, there = F.col(f"n{k}") + 0.5, F.col("n0") + 0.5
-        odds = F.log(here / (sizes[d] + 1)) - F.log(there / (sizes[domains[0]] + 1))
+        here, there = own[k] + 0.5, own[0] + 0.5
+        odds = F.log(here / (sizes[k] + 1)) - F.log(there / (sizes[0] + 1))
         # root of the likelihood ratio against the same share in both domains
-        part = sizes[d] / (sizes[d] + sizes[domains[0]])
+        part = sizes[k] / (sizes[k] + sizes[0])
         clear = F.sqrt(F.greatest(F.lit(0.0), 2 * (here * F.log(here / ((here + there) * part)) + there * F.log(there / ((here + there) * (1 - part))))))
-        counted = counted.withColumn(f"o{k}", F.when((F.abs(odds) >= STRONG) & (clear >= CLEAR), F.round(odds, 4)).otherwise(0.0))
-        telling.append(f"o{k}")
-        clearest.append(F.when(F.col(f"o{k}") != 0, clear).otherwise(0.0))
+        telling[f"o{k}"] = F.when((F.abs(odds) >= STRONG) & (clear >= CLEAR), F.round(odds, 4)).otherwise(0.0)
+        clearest.append(F.when(telling[f"o{k}"] != 0, clear).otherwise(0.0))
     if not telling:
         return model
     # at most half the places: the clearest tokens; of two at one place the clearer stays
-    best = counted.withColumn("clear", F.greatest(F.lit(0.0), *clearest)).where("clear > 0").orderBy(F.desc("clear"), "h").limit(places // 2).collect()
+    best = counted.withColumns(telling | {"clear": F.greatest(F.lit(0.0), *clearest)}).where("clear > 0").orderBy(F.desc("clear"), "h").limit(places // 2).collect()
+    # a smaller table where few tokens tell anything
+    while len(best) * 4 < places > 256:
+        places //= 2
+    model = Model(domains, places, model.prior)
     for r in best:
         at = r.h % places
         if not model.known[at] and r.h:
             model.known[at] = r.h
             for name in telling:
                 model.odds[int(name[1:]) - 1][at] = r[name]
-    hits = texts.select("domain", model.hits(F.col("text")).alias("hits"))
-    silent = [F.sum(F.when(speaks(model, k), 0).otherwise(1)).alias(f"s{k}") for k in range(len(others))]
-    found = {r.domain: r for r in hits.groupBy("domain").agg(*silent).collect()}
-    for k, d in enumerate(others):
-        if sizes.get(d):
-            share = lambda x: (found[x][f"s{k}"] + 0.5) / (sizes[x] + 1)  # noqa: B023, E731
-            model.none[k] = round(math.log(share(d)) - math.log(share(domains[0])), 6)
     return model
 
 
-def speaks(model: Model, k: int) -> Column:
-    odds = constant(model.odds[k], "double")
-    return F.exists("hits", lambda h: F.get(odds, F.pmod(h, F.lit(model.places)).cast("int")) > 0)
-
-
-def with_memberships(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "mix_") -> DataFrame:
-    """docs with prefix + "tokens" and prefix + domain, the share in 256ths."""
-    domains = model.domains
-    hits = f"{prefix}hits"
-    found = docs.withColumns({hits: model.hits(F.col(text_col)), f"{prefix}tokens": F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(r"\S+")).cast("long")})
-    evidence = {f"{prefix}e{k}": model.evidence(F.col(hits), k) for k in range(len(domains) - 1)}
-    found = found.withColumns(evidence).drop(hits)
-    top = F.greatest(F.lit(0.0), *(F.col(e) for e in evidence))
-    below = {e: F.exp(F.col(e) - top) for e in evidence}
-    whole = F.exp(-top) + sum(below.values(), F.lit(0.0))
-    shares = {f"{prefix}{d}": F.floor(x / whole * UNITS).cast("int") for d, x in zip(domains[1:], below.values())}
-    found = found.withColumns(shares).drop(*evidence)
-    return found.withColumn(f"{prefix}{domains[0]}", F.lit(UNITS) - sum((F.col(x) for x in shares), F.lit(0)))
-
-
-def rate(steps: list[list[float]], shares: list[Column]) -> Column:
-    """The rate after the steps, each an excess by domain, from rate one."""
-    if not steps:
-        return F.lit(1.0)
-    by_domain = [constant(list(g), "double") for g in zip(*steps)]
-
-    def after(r: Column, i: Column) -> Column:
-        return F.greatest(F.lit(0.0), r - sum((s * F.get(g, i) for s, g in zip(shares, by_domain)), F.lit(0.0)) / UNITS)
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), after)
-
-
-def fit_rates(cells: DataFrame, targets: dict[str, float], domains: list[str], prefix: str = "mix_", most: int = STEPS, enough: float = ENOUGH) -> list[list[float]]:
-    """Steps until the expected totals match the targets, which are shares of all tokens."""
-    shares = [F.col(f"{prefix}{d}") for d in domains]
-    tokens, weight, steps, scale = F.col("tokens").cast("double"), sum(targets.values()), [], None
-    while len(steps) < most:
-        r = rate(steps, shares)
-        now = cells.agg(F.sum(tokens).alias("all"), *(F.sum(tokens * r * s / UNITS).alias(f"a{k}") for k, s in enumerate(shares))).first()
-        if not now["all"]:
-            break
-        totals = [now[f"a{k}"] for k in range(len(domains))]
-        scale = scale or totals  # at rate one
-        # a domain that no document belongs to cannot be moved
-        step = [round((x - now["all"] * targets[d] / weight) / s, 9) if s else 0.0 for x, d, s in zip(totals, domains, scale)]
-        if max(map(abs, step)) < enough:
+def fit_rates(tokens: list[int], shares: list[list[float]], targets: list[float], still: float = STILL, most: int = STEPS) -> tuple[list[float], list[float]]:
+    """Rates of cells with so many tokens and such memberships, and the expected share of
+    each domain: the nonnegative least-squares fit to the targets, from rate one, at which
+    a cell without tokens stays."""
+    whole, rates, domains = sum(tokens), [1.0] * len(tokens), range(len(targets))
+    there = [c for c, n in enumerate(tokens) if n]
+    cells = [(tokens[c] / whole, shares[c]) for c in there]
+    now = [1.0] * len(cells)
+    total = lambda: [sum(p * r * s[k] for (p, s), r in zip(cells, now)) for k in domains]
+    expected = total()
+    for _ in range(most):
+        excess = [x - t for x, t in zip(expected, targets)]
+        now = [max(0.0, r - sum(excess[k] * s[k] for k in domains)) for (_, s), r in zip(cells, now)]
+        before, expected = expected, total()
+        if max(abs(x - y) for x, y in zip(before, expected)) < still:
             break
-        steps.append(step)
-    return steps
+    for c, r in zip(there, now):
+        rates[c] = r
+    return rates, expected
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", prefix: str = "mix_", **fitting) -> DataFrame:
-    """docs with prefix + "tokens", prefix + domain (memberships in 256ths), prefix +
-    "rate" and prefix + "copies": the rate rounded down or up by a hash of the row, so
-    that the expected number of copies is the rate.
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", prefix: str = "mix_", columns: list[str] | None = None, **fitting) -> DataFrame:
+    """The columns of docs (or those named) with, each after the prefix: tokens, a
+    membership for each domain, rate, copies (the rate rounded down or up by a hash of the
+    row, so that the expected number of copies is the rate) and reached (whether the
+    expected share of tokens of every domain is within NEAR of its target).
 
-    targets: weight of each domain, by name; the mixture has as many tokens as docs.
-    Null and empty texts have no tokens and the labelled table's shares.  Repeated rows
-    have equal rates and copies.  A null id is hashed like any value.  Columns of docs stay.
+    targets: weight of each domain, by name; the mixture has as many tokens as docs.  Where
+    targets are out of reach the rates are the least-squares optimum, and reached is false.
+    Null and empty texts have no tokens; repeated rows have equal rates and copies.  A null
+    id is hashed like any value.  Columns of docs that have a new column's name are replaced.
     """
-    domains = sorted(targets)
+    domains, weight = sorted(targets), sum(targets.values())
     scratch = Scratch(docs.sparkSession, "mixture")
     model = fit(docs, labelled, domains, id_col=id_col, text_col=text_col, **fitting)
-    found = with_memberships(docs, model, text_col, prefix)
-    shares = [f"{prefix}{d}" for d in domains]
-    cells = scratch.table(found.groupBy(*shares).agg(F.sum(f"{prefix}tokens").alias("tokens")), "cells")
-    steps = fit_rates(cells, targets, domains, prefix)
-    draw = F.pmod(F.xxhash64(F.lit("copies"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    return found.withColumn(f"{prefix}rate", rate(steps, [F.col(s) for s in shares])).withColumn(f"{prefix}copies", F.floor(F.col(f"{prefix}rate") + draw).cast("int"))
+    new = [f"{prefix}{c}" for c in ("tokens", *domains, "rate", "copies", "reached")]
+    carried = {c: f"c{i}" for i, c in enumerate(docs.columns if columns is None else columns) if c not in new}
+    hashes = F.transform(tokens_of(F.col(f"`{text_col}`")), lambda t: F.xxhash64(t))
+    draw = F.pmod(F.xxhash64(F.lit("copies"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(1 << 30)) / float(1 << 30)
+    judged = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in carried.items()), draw.alias("draw"), hashes.alias("hashes"))
+    judged = judged.withColumn("marks", marks_of(F.col("hashes"))).select(*carried.values(), "draw", F.size("hashes").alias("tokens"), model.cell(F.col("marks")).alias("cell"))
+    # written once: for the sums by cell, and for the result
+    marked = scratch.table(judged, "marked")
+    sums = {r.cell: r.tokens for r in marked.groupBy("cell").agg(F.sum("tokens").alias("tokens")).collect()}
+    cells = range(len(model.shares))
+    rates, expected = fit_rates([sums.get(c, 0) for c in cells], model.shares, [targets[d] / weight for d in domains])
+    reached = all(abs(x - targets[d] / weight) <= NEAR for x, d in zip(expected, domains))
+    of = lambda values: F.get(constant([round(x, 9) for x in values], "double"), F.col("cell"))
+    rated = marked.withColumn("rate", of(rates))
+    return rated.select(
+        *(F.col(x).alias(c) for c, x in carried.items()),
+        F.col("tokens").cast("long").alias(f"{prefix}tokens"),
+        *(of([s[k] for s in model.shares]).alias(f"{prefix}{d}") for k, d in enumerate(domains)),
+        F.col("rate").alias(f"{prefix}rate"),
+        F.floor(F.col("rate") + F.col("draw")).cast("int").alias(f"{prefix}copies"),
+        F.lit(reached).alias(f"{prefix}reached"),
+    )

@@ -61,8 +61,7 @@ TARGETS = {"clean": 0.96, "poor": 0.01, "toxic": 0.03}
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = _read(spark, sf_dir, "labels").select("doc_id", F.expr(DOMAIN).alias("domain"))
-    mixed = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text"), labelled, TARGETS, prefix="")
-    return mixed.drop("text")
+    return mixing.mix(_read(spark, sf_dir, "documents"), labelled, TARGETS, prefix="", columns=["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
