@@ -22,8 +22,8 @@ from .slices import SLICE, Texts, mixed, slices
 BUCKETS, DIM, GRAMS, EPOCHS, RATE, SEED = 1 << 17, 10, (3, 4), 5, 0.4, 11
 #: The bucket of any repeated word.
 SAME = 1
-#: The bounded sample: so many labelled rows, none longer than so many characters.
-SAMPLE, SAMPLE_CHARS = 5000, 20_000
+#: The bounded sample: so many labelled rows.
+SAMPLE = 5000
 
 
 def features(texts: Texts, buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -104,17 +104,16 @@ class Model:
         return (self.vectors @ (self.out[:, 1] - self.out[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_on, label_col: str, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, train_on, label_col: str, sample: int = SAMPLE, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
     """Train on at most `sample` labelled rows, those of lowest hash of the id.
 
-    Labels other than 0 and 1, null ids and ids with contradicting labels are left out,
-    and so are texts of more than sample_chars characters; of an id that stands more than
-    once the first text in order is taken.  No labelled rows: even odds.
+    Labels other than 0 and 1, null ids and ids with contradicting labels are left out; of
+    an id that stands more than once the first text in order is taken.  No labelled rows: even odds.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & train_on(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("y1")).where("y = y1").select("id", F.col("y").cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.length("text") <= sample_chars)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     taken = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

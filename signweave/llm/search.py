@@ -24,8 +24,9 @@ from .blocks import runs
 
 #: Bits kept of a row's values and of a query's weights.
 ROW_BITS, QUERY_BITS = 5, 4
-#: Rows and queries of a block at most, and numbers in a block of rows.
-ROWS, QUERIES, NUMBERS = 32768, 256, 1 << 22
+#: Rows of a block and queries that one built index answers, at most, and numbers in a block
+#: of rows.
+ROWS, QUERIES, NUMBERS = 32768, 8192, 1 << 22
 
 
 class Index:
@@ -73,33 +74,30 @@ class Index:
 
         A negative weight counts the complement of each slice, which adds a constant.
         """
-        columns: list[list[np.ndarray]] = []
-        for weight, own in zip(weights.tolist(), self.slices):
-            size = abs(weight)
-            if not size:
-                continue
-            flipped = own if weight > 0 else ~own
-            for w in range(size.bit_length()):
-                if size >> w & 1:
-                    for b in range(self.bits):
-                        while len(columns) <= w + b:
-                            columns.append([])
-                        columns[w + b].append(flipped[b])
+        size = np.abs(weights)
+        own = self.slices ^ np.where(weights < 0, ~np.uint64(0), np.uint64(0))[:, None, None]
+        columns: list[list[np.ndarray]] = [[] for _ in range(int(size.max(initial=0)).bit_length() + self.bits)]
+        for w in range(int(size.max(initial=0)).bit_length()):
+            chosen = np.flatnonzero(size >> w & 1)
+            for b in range(self.bits):
+                columns[w + b].append(own[chosen, b])
         out, p = [], 0
         while p < len(columns):
-            column = columns[p]
-            if len(column) > 1 and len(columns) == p + 1:
-                columns.append([])
-            while len(column) > 2:
-                a, b, c = column.pop(), column.pop(), column.pop()
+            column, carried = np.concatenate([*columns[p], np.zeros((0, len(self.all)), np.uint64)]), []
+            while len(column) > 2:  # three bitmaps become a sum and a carry, many at once
+                m = len(column) // 3
+                a, b, c = column[:m], column[m : 2 * m], column[2 * m : 3 * m]
                 both = a ^ b
-                columns[p + 1].append((a & b) | (both & c))
-                column.insert(0, both ^ c)
+                carried.append((a & b) | (both & c))
+                column = np.concatenate([both ^ c, column[3 * m :]])
             if len(column) == 2:
-                a, b = column
-                columns[p + 1].append(a & b)
-                column[:] = [a ^ b]
-            out.append(column[0] if column else np.zeros_like(self.all))
+                carried.append(column[:1] & column[1:])
+                column = column[:1] ^ column[1:]
+            if carried:
+                if len(columns) == p + 1:
+                    columns.append([])
+                columns[p + 1] += carried
+            out.append(column[0] if len(column) else np.zeros_like(self.all))
             p += 1
         return out
 

@@ -52,26 +52,16 @@ class Texts:
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.starts, self.offsets)
 
-    def powers(self) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.data) + 1
-        if len(_powers[0]) < n:
-            grown = np.ones((2, max(n, SLICE + 4096)), np.uint64)
-            for row, base in zip(grown, (BASE, INVERSE)):
-                row[1:] = base
-                np.cumprod(row, out=row)
-            _powers[:] = list(grown)
-        return _powers[0], _powers[1]
-
     def prefix(self) -> np.ndarray:
         """Sums of byte times power, from which span() takes the hash of any span."""
-        up, _ = self.powers()
+        up, _ = powers(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=total[1:])
         return total
 
     def span(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of the bytes of each span: equal spans, equal hashes."""
-        _, down = self.powers()
+        _, down = powers(len(self.data) + 1)
         return mixed((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * LENGTH)
 
     def words(self) -> np.ndarray:
@@ -81,6 +71,19 @@ class Texts:
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n of each at least."""
+    if len(_powers[0]) < n:
+        grown = np.ones((2, max(n, SLICE + 4096)), np.uint64)
+        for row, base in zip(grown, (BASE, INVERSE)):
+            row[1:] = base
+            np.cumprod(row, out=row)
+        _powers[:] = list(grown)
+    return _powers[0], _powers[1]
+
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
