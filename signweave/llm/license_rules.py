@@ -71,7 +71,7 @@ TEXTS = [
     ("ofl-1.1", 40, 1.0, "font", r"this font software is licensed under the sil open font license version 1 1"),
     ("python", 39, 0.9, "python", r"python software foundation license version 2"),
     ("unicode", 38, 0.9, "unicode", r"permission is hereby granted free of charge to any person obtaining a copy of the unicode data files"),
-    ("cc0-1.0", 40, 1.0, "waived", r"to the extent possible under law .{0,80}? has waived all copyright and related or neighboring rights"),
+    ("cc0-1.0", 40, 1.0, "waived", r"to the extent possible under law .{1,80}? has waived all copyright and related or neighboring rights"),
     ("cc-by", 39, 0.9, "attribution", r"this work is licensed under (?:a |the )?creative commons attribution [1234] [05]"),
     ("cc-by-sa", 39, 0.9, "attribution", r"this work is licensed under (?:a |the )?creative commons attribution share ?alike [1234] [05]"),
     ("commons-clause", 40, 1.0, "licensor", r"the software is provided to you by the licensor under the license as defined below subject to the following condition"),

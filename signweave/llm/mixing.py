@@ -8,7 +8,8 @@ the domains' shares among the labelled documents in it, each judged by a classif
 without its part of the sample.
 
 The rates of documents are the nonnegative least-squares fit of the expected domain token
-totals to the targets, by projected gradient from rate one.  In the metric that weighs a
+totals to the targets, by projected gradient from rate one.  A small ridge holds rates near
+one, so that targets out of reach do not drive documents of nearly equal memberships apart.  In the metric that weighs a
 document by its tokens a step lowers a document's rate by its memberships times the
 domains' excess, which is the same for all documents of a cell.  So the sums over documents
 are made once, by cell, on all executors; what the steps run over is bounded by the number
@@ -32,11 +33,13 @@ PLACES, SAMPLE = 1 << 13, 20_000
 LEAST_DOCS, STRONG, CLEAR = 4, 1.0, 4.0
 #: Parts of the sample, each judged by a classifier fitted on the others.
 PARTS = 4
-#: Levels of a cell's margin, and how many make one unit of evidence.
-LEVELS, FINE = 32, 4
+#: Levels of a cell's margin, how many make one unit of evidence, and what a far one counts.
+LEVELS, FINE, FAR = 32, 4, 0.01
 #: The gradient ends when no domain's expected share moves by more in a step; after so many
 #: steps at the latest; and shares so near to the targets count as reached.
 STILL, STEPS, NEAR = 1e-12, 100_000, 0.005
+#: Weight of the ridge.
+RIDGE = 1e-3
 PUNCTUATION, SPACE = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", r"[\x00-\x20]+"
 
 
@@ -135,13 +138,14 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], places: int =
     found: dict[tuple[int, str], float] = {}
     for r in texts.groupBy("domain", cell.alias("cell")).count().collect():
         found[r.cell, r.domain] = found.get((r.cell, r.domain), 0.0) + r["count"] * weight[r.domain]
-    # neighbouring levels count by half for each step between; half a document of the whole's shares
+    # neighbouring levels count by half for each step between, all of the domain's a little,
+    # and half a document of the whole's shares
     total = sum(whole.values())
     for cell in range(len(model.shares)):
         own = [0.5 * whole.get(d, 0) / total for d in domains]
         for near in range(cell // LEVELS * LEVELS, (cell // LEVELS + 1) * LEVELS):
             for k, d in enumerate(domains):
-                own[k] += found.get((near, d), 0.0) * 0.5 ** abs(near - cell)
+                own[k] += found.get((near, d), 0.0) * (0.5 ** abs(near - cell) + FAR)
         model.shares[cell] = [x / sum(own) for x in own]
     return model
 
@@ -180,10 +184,10 @@ def _bayes(counted: DataFrame, n: dict, weight: dict, domains: list[str], places
     return model
 
 
-def fit_rates(tokens: list[int], shares: list[list[float]], targets: list[float], still: float = STILL, most: int = STEPS) -> tuple[list[float], list[float]]:
+def fit_rates(tokens: list[int], shares: list[list[float]], targets: list[float], ridge: float = RIDGE, still: float = STILL, most: int = STEPS) -> tuple[list[float], list[float]]:
     """Rates of cells with so many tokens and such memberships, and the expected share of
-    each domain: the nonnegative least-squares fit to the targets, from rate one, at which
-    a cell without tokens stays."""
+    each domain: the nonnegative least-squares fit to the targets, with the ridge, from rate one,
+    at which a cell without tokens stays."""
     whole, rates, domains = sum(tokens), [1.0] * len(tokens), range(len(targets))
     there = [c for c, n in enumerate(tokens) if n]
     cells = [(tokens[c] / whole, shares[c]) for c in there]
@@ -192,7 +196,7 @@ def fit_rates(tokens: list[int], shares: list[list[float]], targets: list[float]
     expected = total()
     for _ in range(most):
         excess = [x - t for x, t in zip(expected, targets)]
-        now = [max(0.0, r - sum(excess[k] * s[k] for k in domains)) for (_, s), r in zip(cells, now)]
+        now = [max(0.0, r - (sum(excess[k] * s[k] for k in domains) + ridge * (r - 1)) / (1 + ridge)) for (_, s), r in zip(cells, now)]
         before, expected = expected, total()
         if max(abs(x - y) for x, y in zip(before, expected)) < still:
             break

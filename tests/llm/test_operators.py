@@ -8,12 +8,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from signweave.llm import blocks, licenses, lines, mixing, packing, passages, quality, search, simhash, tokens, vectors
+from signweave.llm import blocks, licenses, lines, mixing, packing, passages, quality, search, simhash, slices, tokens, vectors
 from signweave.llm.license_rules import rules
 
 SPACES = r"[^\x20\x09-\x0D]+"
@@ -35,6 +36,9 @@ def texts():
         copy[i * 7] = "changed"
         found.append(" ".join(copy))
     found += ["x <|endoftext|> y", "日本語 テスト 👍🏽　z", "two  spaces\t\ttabs\r\n12345 don't I'LL", "\x1ca \xa0b\x85c", found[9], found[10]]
+    # longer than a slice, so that it is one by itself
+    found.append(many(230_000))
+    assert len(found[-1].encode()) > slices.SLICE
     return found
 
 
@@ -75,7 +79,7 @@ def test_vocabulary_entries_reach_themselves():
     from signweave.llm.bpe import Bpe
 
     bpe, odd = Bpe(public_tokenizers.path("byte_bpe_50k.json")), 0
-    for token, rank in list(bpe.ranks.items())[::17]:
+    for token, rank in bpe.ranks.items():
         text = bpe.library.id_to_token(rank)
         odd += [t.id for t in bpe.library.model.tokenize(text)] != [rank]
     assert odd == 0
@@ -91,6 +95,18 @@ def test_token_counts(docs, bodies):
     assert len(got[9]) == 2 and len(got[None]) == 1
 
 
+def test_both_tiers_count_alike(bodies):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in bodies]
+    some = tokens.Lookup(path, tokens.frequent([t for t in bodies[:12] if t], path, 1 << 8, 100))
+    assert some(bodies).tolist() == want and some.hits > 1000 and some.misses > 1000
+    none = tokens.Lookup(path, tokens.frequent([], path))
+    assert none(bodies).tolist() == want and not none.hits
+    whole = tokens.Lookup(path, tokens.frequent([t for t in bodies if t], path))
+    assert whole(bodies).tolist() == want and whole.hits > 10 * whole.misses
+
+
 def test_cache_keeps_its_bound():
     from signweave.llm.bpe import Cache
 
@@ -200,10 +216,50 @@ def test_license_gates_close_on_no_match(spark, monkeypatch):
     gated = {r.doc_id: r for r in licenses.scan(table).collect()}
     every = [(*r[:3], " ", r[4]) for r in rules()]
     monkeypatch.setattr(licenses, "rules", lambda: every)
-    monkeypatch.setattr(licenses, "trigger", lambda known: "")
+    monkeypatch.setattr(licenses, "may_match", lambda joined: F.lit(True))
     ungated = {r.doc_id: r for r in licenses.scan(table).collect()}
     assert [x for n, x in rows if gated[n] != ungated[n]] == []
-    assert all(r.detections for r in ungated.values())
+    assert [x for n, x in rows if not ungated[n].detections] == []
+
+
+def plain_scan(text, compiled):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    joined, found = f" {' '.join(words)} ", []
+    for i, (label, priority, confidence, rx) in enumerate(compiled):
+        for m in rx.finditer(joined):
+            first = joined[1 : m.start()].count(" ")
+            found.append((first, first + m[0].count(" "), priority, i, label, confidence))
+    inside = lambda d, e: e[0] <= d[0] and e[1] >= d[1] and (e[2], e[1] - e[0], -e[3]) > (d[2], d[1] - d[0], -d[3])
+    kept = [d for d in found if not any(inside(d, e) for e in found)]
+    base = []
+    for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")):
+        p = phrase.split()
+        base += [(k, label) for k in range(len(words)) if words[k : k + len(p)] == p]
+    places, labels = [k for k, _ in base], {x for _, x in base}
+    return (
+        (len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {d[4] for d in kept})), max((d[5] for d in kept), default=0.0)),
+        sorted((d[4], d[2], d[0], d[1]) for d in kept),
+    )
+
+
+def test_license_scan_equals_a_plain_engine(spark, bodies):
+    compiled = [(*r[:3], re.compile(f"(?<= )(?:{r[4]})(?= )")) for r in rules()]
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    notice = "Licensed under the Apache License, Version 2.0; see the LICENSE file. GNU GPL v2 or later. Copyright (c) 2001"
+    odd = [*bodies, notice, notice, notice * 40, "all rights reserved " * 300, "MIT LICENSE mit-license mit\tlicense", "spdx-license-identifier: gpl-2.0 only"]
+    whole = table.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    some = 0
+    for r, text in ((r, r.text) for r in licenses.scan(whole).join(whole, "doc_id").collect()):
+        want, detections = plain_scan(text, compiled)
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == want
+        assert sorted((d.label, d.priority, d.first_word, d.last_word) for d in r.detections) == detections
+        some += len(detections)
+    assert some > 100
+
+
+def test_license_repeats_take_no_square(spark):
+    (r,) = licenses.scan(spark.createDataFrame([(1, "mit license " * 20_000)], "doc_id int, text string")).collect()
+    assert r.n_base == 20_000 and len(r.detections) == 20_000
 
 
 def test_substring_dedup(docs, bodies):
@@ -225,6 +281,32 @@ def test_substring_dedup(docs, bodies):
     assert some > 500 and got[None][0].n_removed == 0
 
 
+def test_substring_dedup_doubles_through_several_levels(spark):
+    assert passages.levels(13) == [7, 13] and passages.levels(50) == [7, 13, 25, 50]
+    draw = random.Random(9)
+    many = lambda n: [draw.choice("abcdefghijklmnop") + str(draw.randint(0, 40)) for _ in range(n)]
+    hot, shared = many(60), [many(70) for _ in range(5)]
+    words = [many(draw.randint(0, 80)) + (hot if i % 3 else many(9)) + shared[i % 5][: draw.randint(5, 70)] + many(20) for i in range(300)]
+    words += [["x"] * n for n in (49, 50, 51, 200, 300)] + [words[3], words[4][:60]]
+    least, length = {}, 50
+    for i, w in enumerate(words):
+        for s in range(len(w) - length + 1):
+            least.setdefault(tuple(w[s : s + length]), i)
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)] + [(7, " ".join(words[8]))]
+    got = by_id(passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").where("doc_id != 8"), length))
+    for i, w in enumerate(words):
+        gone = [False] * len(w)
+        for s in range(len(w) - length + 1):
+            first = least[tuple(w[s : s + length])]
+            if (7 if first == 8 else first) < i:
+                gone[s : s + length] = [True] * length
+        if i != 8:
+            kept = " ".join(x for x, g in zip(w, gone) if not g)
+            assert (len(w), sum(gone), kept) in {(r.n_words, r.n_removed, r.kept) for r in got[i]}, i
+            assert all(sum(s.last - s.first + 1 for s in r.spans) == r.n_removed for r in got[i])
+    assert len(got[7]) == 2 and sum(r.n_removed > 0 for rs in got.values() for r in rs) > 100
+
+
 def components(ids, links):
     up = {i: i for i in ids}
 
@@ -242,7 +324,7 @@ def components(ids, links):
 @pytest.mark.parametrize("block", [1024, 8])
 def test_near_vectors(vecs, block, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK", block)
-    monkeypatch.setattr(vectors, "grouped", lambda e, s: blocks.grouped(e, s, block))
+    monkeypatch.setattr(vectors, "grouped", lambda e, s: blocks.grouped(e, s, block=block))
     rows = vecs.collect()
     fine = [r for r in rows if r.vec_id is not None and r.label is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
     links, count = [], collections.Counter()
@@ -264,6 +346,23 @@ def test_near_vectors(vecs, block, monkeypatch):
             assert r.component_id == want[r.vec_id] and r.kept == (r.vec_id == r.component_id)
 
 
+def test_near_vectors_recall(spark):
+    """Planted pairs just above the threshold, among 50,000 vectors."""
+    draw = np.random.default_rng(6)
+    base = draw.standard_normal((49_000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = draw.standard_normal((1000, 32))
+    side -= (side * base[:1000]).sum(axis=1, keepdims=True) * base[:1000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    pairs = 0.981 * base[:1000] + np.sqrt(1 - 0.981**2) * side
+    whole = np.concatenate([base, pairs])
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(whole.ravel()), 32).cast(pa.list_(pa.float64()))
+    table = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(50_000)), "label": pa.array(np.ones(50_000, np.int32)), "embedding": lists}))
+    got = vectors.near_vectors(table.repartition(4)).where("n_links > 0").toPandas()
+    found = set(got.vec_id[got.vec_id >= 49_000] - 49_000)
+    assert len(found) >= 990 and (got.component_id <= got.vec_id).all()
+
+
 @pytest.mark.parametrize("size", [(32768, 256), (16, 2)])
 def test_top_k(vecs, size):
     rows = [r for r in vecs.collect() if r.vec_id is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding)]
@@ -289,7 +388,7 @@ def test_bit_slices_hold_the_top_rows():
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    got = quality.quality(docs, labels, sample=1500).where("held_out").join(labels, "doc_id").toPandas()
+    got = quality.quality(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
     assert (got.predicted == got.quality).mean() > 0.95
     assert got[got.quality == 1].predicted.mean() > 0.99
     scores, y = got.score.to_numpy(), got.quality.to_numpy()
@@ -318,12 +417,12 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-@pytest.mark.parametrize("block", [1024, 2])
-def test_simhash(docs, bodies, block, monkeypatch):
-    monkeypatch.setattr(simhash, "grouped", lambda e, s: blocks.grouped(e, s, block))
+@pytest.mark.parametrize("block,hot", [(1024, 4096), (2, 4096), (1024, 2)])
+def test_simhash(docs, bodies, block, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "grouped", lambda e, s, finer, hot: blocks.grouped(e, s, finer, block, hot))
     marks = {i: fingerprint(t) for i, t in enumerate(bodies)}
     links = [(a, b) for a in marks for b in marks if a < b and (marks[a] ^ marks[b]).bit_count() <= 4]
-    want, got = components(marks, links), by_id(simhash.near_duplicates(docs))
+    want, got = components(marks, links), by_id(simhash.near_duplicates(docs, hot=hot))
     for i, mark in marks.items():
         assert {(r.fingerprint, r.component_id) for r in got[i]} == {(f"{mark:016x}", want[i])}
     assert got[None][0].component_id == want[12] and len(links) > 10
@@ -339,9 +438,36 @@ def test_close_fingerprints_share_a_table(spare):
         for bit in draw.sample(range(64), 4):
             b ^= 1 << bit
         assert any(a & m == b & m for m in masks)
-
-
-def test_line_dedup(spark):
+        assert any(a & m == b & m for m in simhash.finer_masks(simhash.finer_masks(masks, 4), 4))
+
+
+def test_hot_bucket_is_split(spark, tmp_path):
+    """One bucket of 20,000 fingerprints: few rows meet, and every close pair does."""
+    draw = np.random.default_rng(4)
+    fps = np.unique(draw.integers(0, 1 << 40, 20_000, dtype=np.uint64) << np.uint64(22) | np.uint64(0x155555))
+    near = fps[:500] ^ (np.uint64(1) << draw.integers(22, 62, 500).astype(np.uint64)) ^ (np.uint64(1) << draw.integers(22, 62, 500).astype(np.uint64))
+    fps = np.unique(np.concatenate([fps, near])).view(np.int64)
+    table = spark.createDataFrame([(int(x),) for x in fps], "fp long").repartition(4)
+    links = []
+    for a in range(0, len(fps), 1000):
+        i, j = np.nonzero(np.bitwise_count(fps[a : a + 1000, None].view(np.uint64) ^ fps[None, :].view(np.uint64)) <= 4)
+        links += [(int(fps[a + x]), int(fps[y])) for x, y in zip(i, j) if a + x < y]
+    want = {i: c for i, c in components([int(x) for x in fps], links).items()}
+    linked = {x for pair in links for x in pair}
+    scratch, sent = simhash.Scratch(spark, "hot"), []
+    plain = blocks.dealt
+    blocks.dealt = lambda groups: sent.append(groups.count()) or plain(groups)
+    try:
+        got = {r.fp: r.component for r in simhash.components(table, 4, scratch).collect()}
+    finally:
+        blocks.dealt = plain
+    assert got == {x: want[x] for x in linked} and len(links) >= 450
+    # no more rows than the 15 tables have entries, though one bucket holds all of them
+    assert sent[0] < 15 * len(fps)
+
+
+@pytest.mark.parametrize("most", [lines.BROADCAST, 0])
+def test_line_dedup(spark, most):
     draw = random.Random(2)
     word = lambda: "".join(draw.choices("abcdefgh", k=6))
     rows = []
@@ -353,7 +479,7 @@ def test_line_dedup(spark):
     rows += [(100 + i, copy) for i in range(20)] + [(200 + i, f"{copy} x{word()}") for i in range(20)]
     rows += [(300, None), (301, ""), (302, "\n\n"), (None, rows[0][1]), rows[1]]
     table = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, n_dropped int")
-    got = by_id(lines.drop_recurring_lines(table))
+    got = by_id(lines.drop_recurring_lines(table, broadcast=most))
     for i, text in rows[:30]:
         gone = i < 24
         assert all(r.n_dropped == int(gone) and r.n_lines == 5 for r in got[i]), i
@@ -389,20 +515,79 @@ def test_mixing_meets_its_targets(spark):
         if i % 2:
             labelled.append((i, "poor" if bad else "clean"))
     rows += [(None, rows[1][1], 1), rows[2], (700, None, 1), (701, "", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, tokens int")
+    # a user's columns of the names used inside stay; one of a new column's name is replaced
+    docs = spark.createDataFrame([(*r, 5, 6.0, "x") for r in rows], "doc_id long, text string, tokens int, cell int, mix_rate double, hits string")
     table = spark.createDataFrame(labelled, "doc_id long, domain string")
     got = mixing.mix(docs, table, {"clean": 0.9, "poor": 0.1}).toPandas()
-    assert len(got) == len(rows) and ((got.mix_clean + got.mix_poor) == 256).all()
+    assert list(got.columns) == ["doc_id", "text", "tokens", "cell", "hits", "mix_tokens", "mix_clean", "mix_poor", "mix_rate", "mix_copies", "mix_reached"]
+    assert len(got) == len(rows) and ((got.mix_clean + got.mix_poor - 1).abs() < 1e-6).all() and got.mix_reached.all()
+    assert set(got.tokens) == {1} and set(got.cell) == {5} and set(got.hits) == {"x"}
     total = got.mix_tokens.sum()
     for d, share in (("clean", 0.9), ("poor", 0.1)):
-        assert abs((got.mix_tokens * got.mix_rate * got[f"mix_{d}"] / 256).sum() / total - share) < 1e-3
+        assert abs((got.mix_tokens * got.mix_rate * got[f"mix_{d}"]).sum() / total - share) < mixing.NEAR
     assert (got.mix_rate >= 0).all() and ((got.mix_copies - got.mix_rate).abs() < 1).all()
     bad = got.doc_id % 3 == 0
-    assert got[bad & (got.doc_id < 600)].mix_poor.min() > 128 > got[~bad & (got.doc_id < 600)].mix_poor.max()
+    assert got[bad & (got.doc_id < 600)].mix_poor.min() > 0.5 > got[~bad & (got.doc_id < 600)].mix_poor.max()
     # no labels: even odds for all, and nothing fails
     assert mixing.mix(docs, table.limit(0), {"clean": 0.9, "poor": 0.1}).count() == len(rows)
 
 
+def test_mixing_rates_are_optimal():
+    draw = np.random.default_rng(8)
+    for k in range(20):
+        shares, tokens = draw.dirichlet([0.5] * 4, 30), draw.integers(0, 1000, 30)
+        targets, part = draw.dirichlet([1.0] * 4), tokens / tokens.sum()
+        rates, expected = mixing.fit_rates(tokens.tolist(), shares.tolist(), targets.tolist())
+        r = np.array(rates)
+        assert np.allclose((part * r) @ shares, expected) and (r >= 0).all() and (r[tokens == 0] == 1).all()
+        slope = shares @ ((part * r) @ shares - targets) + mixing.RIDGE * (r - 1)
+        there = tokens > 0
+        assert (slope[there] > -1e-6).all() and (np.abs(slope[there & (r > 0)]) < 1e-6).all()
+
+
+def plain_cell(model, text):
+    words = re.sub(mixing.PUNCTUATION, lambda m: f" {m[0]} ", (text or "").lower())
+    found = [t for t in re.split(mixing.SPACE, words) if t]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    long = lambda n, seed: xxhash.xxh64_intdigest(int(n).to_bytes(8, "little"), seed)
+    hashes = list(dict.fromkeys(signed(xxhash.xxh64_intdigest(t.encode(), 42)) for t in found))
+    shape = [(b"\x00distinct", len(hashes) * 8 // max(1, len(found))), (b"\x00number", int(np.log2(len(found) + 1)))]
+    marks = hashes + [signed(long(n, xxhash.xxh64_intdigest(x, 42))) for x, n in shape]
+    hits = [h for h in marks if model.known[h % model.places] == h]
+    told = [0.0]
+    for prior, odds in zip(model.prior, model.odds):
+        for h in hits:
+            prior += odds[h % model.places]
+        told.append(prior)
+    best = sorted(told)
+    return len(found), told.index(best[-1]) * mixing.LEVELS + min(mixing.LEVELS - 1, int((best[-1] - best[-2]) * mixing.FINE))
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_mixing_equals_a_plain_version(spark, sf, monkeypatch):
+    from signweave.llm.queries import DOMAIN, TARGETS
+
+    fitted, fit = [], mixing.fit
+    monkeypatch.setattr(mixing, "fit", lambda *a, **k: fitted.append(fit(*a, **k)) or fitted[-1])
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = mixing.mix(docs.select("doc_id", "text"), labels.select("doc_id", F.expr(DOMAIN).alias("domain")), TARGETS).collect()
+    model, domains, sums = fitted[0], sorted(TARGETS), collections.Counter()
+    cells = {r.doc_id: plain_cell(model, r.text) for r in got}
+    for n, cell in cells.values():
+        sums[cell] += n
+    rates, expected = mixing.fit_rates([sums[c] for c in range(len(model.shares))], model.shares, [TARGETS[d] for d in domains])
+    for r in got:
+        n, cell = cells[r.doc_id]
+        assert r.mix_tokens == n and abs(r.mix_rate - rates[cell]) < 1e-6
+        assert all(abs(r[f"mix_{d}"] - p) < 1e-6 for d, p in zip(domains, model.shares[cell]))
+    total = sum(sums.values())
+    off = [abs(sum(r.mix_tokens * r.mix_rate * r[f"mix_{d}"] for r in got) / total - TARGETS[d]) for d in domains]
+    # the small table has too few labels: a tenth of its toxic ones look like any other text
+    assert got[0].mix_reached == (max(off) <= mixing.NEAR) and (max(off) <= mixing.NEAR or sf == "sf0.01")
+    clean = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()}
+    assert sum(r.mix_copies > 0 for r in got if r.doc_id in clean) >= 0.97 * len(clean)
+
+
 def test_empty_tables(spark, docs, vecs):
     none, path = docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")
     assert tokens.token_counts(none, path, 5).count() == 0

@@ -7,11 +7,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from test_operators import components, fingerprint
+import xxhash
+from test_operators import bodies, components, docs, fingerprint  # noqa: F401
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from signweave.llm import lines, mixing, quality
+from signweave.llm import lines, mixing, quality, slices
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,34 +30,66 @@ def stages(spark, tmp_path_factory):
 
 def plain_lines(texts):
     """Line dedup by definition, with everything in memory."""
-    parsed = {t: [lines.parse(x.encode(), lines.DEPTH) for x in t.split("\n")] for t in set(texts)}
+    parsed = {t: [lines.parse(x.encode(), lines.DEPTH, lines.LONG) for x in t.split("\n")] for t in set(texts)}
+    enough = lambda leaf: lines.LONG_DOCS if leaf & 1 else lines.DOCS
     held = collections.defaultdict(set)
     for t, rows in parsed.items():
         for tokens, leaf in rows:
             if len(tokens) >= lines.TOKENS:
                 held[leaf].add(t)
-    leaves = {leaf for leaf, ts in held.items() if len(ts) >= lines.DOCS}
+    leaves = {leaf for leaf, ts in held.items() if len(ts) >= enough(leaf)}
+    asked = {t for leaf in leaves for t in held[leaf]}
+    marks = {t: fingerprint(t) for t in asked}
+    distinct = sorted(set(marks.values()))
+    near = components(distinct, [(a, b) for a in distinct for b in distinct if a < b and (a ^ b).bit_count() <= 4])
     line_texts, at_place = collections.defaultdict(set), collections.defaultdict(int)
     for t, rows in parsed.items():
         for tokens, leaf in rows:
             if len(tokens) >= lines.TOKENS and leaf in leaves:
                 line_texts[leaf, tuple(tokens)].add(t)
+    copies = lambda ts: {near[marks[t]] for t in ts}
     for (leaf, tokens), ts in line_texts.items():
         for place, token in enumerate(tokens):
-            at_place[leaf, place, token] += len(ts)
+            at_place[leaf, place, token] += len(copies(ts))
     template_texts, template_of = collections.defaultdict(set), {}
     for (leaf, tokens), ts in line_texts.items():
-        shape = tuple(x if x != b"<*>" and at_place[leaf, i, x] >= lines.DOCS else b"<*>" for i, x in enumerate(tokens))
+        shape = tuple(x if x != b"<*>" and at_place[leaf, i, x] >= enough(leaf) else b"<*>" for i, x in enumerate(tokens))
         if sum(x != b"<*>" for x in shape) >= lines.CONSTANT * len(shape):
             template_of[tokens] = (leaf, shape)
             template_texts[leaf, shape] |= ts
-    out = []
-    for t in texts:
-        gone = [tuple(tokens) in template_of and len(template_texts[template_of[tuple(tokens)]]) >= lines.DOCS for tokens, _ in parsed[t]]
-        share = sum(len(tokens) for (tokens, _), g in zip(parsed[t], gone) if g)
-        whole = share > lines.SHARE * sum(len(tokens) for tokens, _ in parsed[t])
-        out.append(t if whole else "\n".join(x for x, g in zip(t.split("\n"), gone) if not g))
-    return out
+
+    def key(t):
+        h = xxhash.xxh64_intdigest(b"text", xxhash.xxh64_intdigest(t.encode(), 42))
+        return h - (1 << 64) if h >> 63 else h
+
+    def goes(t, tokens):
+        template = template_of.get(tuple(tokens))
+        if template is None or len(copies(template_texts[template])) < enough(template[0]):
+            return False
+        return not (template[0] & 1 and key(t) == min(map(key, template_texts[template])))
+
+    return ["\n".join(x for x, (tokens, _) in zip(t.split("\n"), parsed[t]) if not goes(t, tokens)) for t in texts]
+
+
+def test_line_stage_on_a_larger_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert [got[r.doc_id] for r in rows] == plain_lines([r.text for r in rows])
+
+
+def test_stages_on_odd_rows(spark, docs, tmp_path):  # noqa: F811
+    """Null ids and texts, empty and long texts, repeated rows, clashing columns, no rows."""
+    odd = docs.drop("lang", "source").selectExpr("*", "cast(null as string) as lang", "'s' as source")
+    for name, rows in (("odd", odd), ("none", odd.limit(0))):
+        found = rows
+        for stage_name, stage in corpus_pipeline.STAGES:
+            stage(spark, found, SF).write.parquet(f"{tmp_path}/{name}-{stage_name}")
+            found = spark.read.parquet(f"{tmp_path}/{name}-{stage_name}")
+            if stage_name != "packing":
+                assert found.columns == corpus_pipeline.COLUMNS
+            assert name == "odd" or found.count() == 0
+        assert name == "none" or found.count() > 0
 
 
 def test_schema(stages):
@@ -64,11 +97,35 @@ def test_schema(stages):
         assert docs.columns == corpus_pipeline.COLUMNS
 
 
+def plain_score(text, weights, bias):
+    """Score of a text by definition, with whole numbers of any size."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 31
+        x = x * 0x7FB5D329728EA185 & full
+        x ^= x >> 27
+        x = x * 0x81DADEF4BC2DD44D & full
+        return x ^ x >> 33
+
+    def span(x):
+        return mix(sum((c + 1) * pow(int(slices.BASE), i, 1 << 64) for i, c in enumerate(x)) + len(x) * int(slices.LENGTH) & full)
+
+    at = lambda h: weights[h & (quality.BUCKETS - 1)]
+    words = [span(w) for w in text.encode().split()]
+    pairs = [quality.SAME if a == b else mix(a * 0x9E3779B97F4A7C15 + b & full) for a, b in zip(words, words[1:])]
+    kinds = [words, pairs] + [[mix(span(text[i : i + n].encode()) + n & full) for i in range(len(text) - n + 1)] for n in quality.GRAMS]
+    odds = bias + sum(sum(float(at(h)) for h in kind) / (len(kinds) * max(1, len(kind))) for kind in kinds)
+    return 1 / (1 + np.exp(-odds))
+
+
 def test_quality_stage(spark, stages):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    model = quality.fit(stages[0], labels, lambda c: quality.fold(c) != 0, "quality")
-    want = sorted(r.doc_id for r in quality.scores(stages[0], model, ["doc_id"]).collect() if r.score >= 0.3)
-    assert sorted(r.doc_id for r in stages[1].collect()) == want and 0 < len(want) <= stages[0].count()
+    weights, bias = quality.fit(stages[0], labels, lambda c: quality.fold(c) != 0, "quality")
+    want = {r.doc_id: plain_score(r.text or "", weights, bias) for r in stages[0].collect()}
+    got = {r.doc_id: r.score for r in quality.scores(stages[0], (weights, bias), ["doc_id"]).collect()}
+    assert all(abs(got[i] - x) < 1e-4 for i, x in want.items())
+    assert sorted(r.doc_id for r in stages[1].collect()) == sorted(i for i, x in got.items() if x >= 0.3)
 
 
 def test_line_stage(stages):
