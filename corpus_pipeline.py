@@ -14,6 +14,8 @@ from signweave.functions.scratch import Scratch
 from signweave.llm import lines, mixing, packing, quality, simhash
 from signweave.llm.queries import DOMAIN, TARGETS
 
+#: Ids that are broadcast at most.
+BROADCAST = 2_000_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -39,10 +41,11 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     if repeated(docs):
         return one_of_each(spark, docs).unionByName(docs.where("doc_id is null").select(COLUMNS))
-    found = simhash.near_duplicates(docs, most=4, words=4)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = Scratch(spark, "kept").table(kept, "ids")
-    return docs.join(kept, "doc_id").select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
+    found = simhash.near_duplicates(docs.select("doc_id", "text"), most=4, words=4)
+    gone = Scratch(spark, "gone").table(found.where("doc_id != component_id").select("doc_id"), "ids")
+    # texts stay in place while the counted ids fit; rows without an id match none
+    small = gone.count() <= BROADCAST
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
