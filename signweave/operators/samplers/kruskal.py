@@ -55,17 +55,20 @@ def renamed(merged: DataFrame, c: str) -> DataFrame:
 
 
 def spanning_trees(graph: Graph, iterations: int, seed: int) -> DataFrame:
-    """Sides from node iter % n; parents and levels are not made, nothing needs them.
-
-    Sides come from the doubled tree, in which each node stands once for each side and an
-    edge joins like sides if positive and unlike ones if negative: two parts, and those on
-    the root's are its side.
-    """
-    tree, n = tree_edges(graph, iterations, seed), max(1, graph.n)
-    copy = lambda c, side: (F.col("iter").cast("long") * n + F.col(c)) * 2 + side
-    flip = (F.col("sign") == -1).cast("int")
-    doubled = tree.select(copy("u", F.lit(0)).alias("a"), copy("v", flip).alias("b")).unionByName(tree.select(copy("u", F.lit(1)).alias("a"), copy("v", 1 - flip).alias("b")))
-    parts = connected_components(doubled, "a", "b")
-    of = parts.where("id % 2 = 0").select(F.floor(F.col("id") / (2 * n)).cast("int").alias("iter"), (F.floor(F.col("id") / 2) % n).cast("long").alias("node"), "component")
-    root = of.where(F.col("node") == F.col("iter") % n).select("iter", F.col("component").alias("root"))
-    return of.join(root, "iter").select("iter", "node", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("int").alias("level"), F.when(F.col("component") == F.col("root"), 1).otherwise(-1).alias("s"))
+    """Trees hung up at node iter % n: each round takes the neighbours of the last one's
+    nodes but their parents, as nothing else of a tree has been reached before."""
+    scratch = Scratch(graph.edges.sparkSession, "hung")
+    tree = tree_edges(graph, iterations, seed)
+    ways = tree.select("iter", F.col("u").alias("src"), F.col("v").alias("dst"), "sign").unionByName(tree.select("iter", F.col("v").alias("src"), F.col("u").alias("dst"), "sign"))
+    ways = scratch.table(ways, "ways")
+    root = (F.col("iter") % max(1, graph.n)).cast("long")
+    start = graph.edges.sparkSession.range(iterations if graph.n else 0).select(F.col("id").cast("int").alias("iter"))
+    reached = [scratch.table(start.select("iter", root.alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level"), F.lit(1).alias("s")), "level0")]
+    while not reached[-1].isEmpty():
+        level = len(reached)
+        last = reached[-1].select("iter", F.col("node").alias("src"), F.col("parent").alias("above"), "s")
+        ahead = last.join(ways, ["iter", "src"]).where("above is null or dst != above")
+        found = ahead.select("iter", F.col("dst").alias("node"), F.col("src").alias("parent"), F.lit(level).alias("level"), (F.col("s") * F.col("sign")).cast("int").alias("s"))
+        reached.append(scratch.table(found, f"level{level}"))
+    paths = [f"{scratch.root}/level{k}" for k in range(len(reached))]
+    return graph.edges.sparkSession.read.schema(reached[0].schema).parquet(*paths)

@@ -9,6 +9,7 @@ from signweave.operators import clean, consensus, graph, relax, samplers, states
 from signweave.operators.components import connected_components
 from signweave.operators.samplers import kruskal, rounds
 from signweave.plans.prepare import Run, from_raw
+from signweave.plans.prepare import graph as made
 from signweave.sources import sinks
 from signweave.sources.edges import read_edge_list
 
@@ -102,8 +103,8 @@ def test_rounds_give_what_kernels_give(tiny):
     kernel = samplers.sample(tiny, "bfs", 5)
     joined = rounds.breadth_first(tiny, 5)
     assert sorted(map(tuple, kernel.collect()), key=str) == sorted(map(tuple, joined.collect()), key=str)
-    by_kernel = {(r.iter, r.node): r.s for r in samplers.sample(tiny, "kruskal", 2).collect()}
-    assert {(r.iter, r.node): r.s for r in kruskal.spanning_trees(tiny, 2, 17).collect()} == by_kernel
+    by_kernel = {(r.iter, r.node): (r.parent, r.s) for r in samplers.sample(tiny, "kruskal", 2).collect()}
+    assert {(r.iter, r.node): (r.parent, r.s) for r in kruskal.spanning_trees(tiny, 2, 17).collect()} == by_kernel
 
 
 def test_large_graphs_are_refused_by_sequential_samplers(tiny):
@@ -149,3 +150,13 @@ def test_no_edges_give_no_rows(spark):
     assert (g.n, g.m) == (0, 0)
     assert Run(g, "bfs", 3).switches.count() == 0
     assert states.frustration_index(Run(g, "bfs", 3).switches).count() == 0
+
+
+def test_kruskal_trees_alike_in_a_worker_and_by_joins(spark):
+    g = made(spark, "/root/testdata/sf0.001", "nation")
+    found = []
+    for in_worker in (samplers.IN_WORKER, 0):
+        trees = samplers.sample(g, "kruskal", 2, 17, in_worker)
+        edges = states.on_edges(g, trees)
+        found.append((sorted((r.iter, r.node, r.parent or -1, r.s) for r in trees.collect()), sorted((r.iter, r.u, r.v, r.minus) for r in edges.where("in_tree").collect())))
+    assert found[0] == found[1] and len(found[0][1]) == 2 * (g.n - 1)
