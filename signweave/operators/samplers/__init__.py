@@ -29,8 +29,10 @@ def sample(graph: Graph, sampler: str, iterations: int, seed: int = 17, in_worke
         raise ValueError(f"unknown sampler {sampler!r}; one of {', '.join(SAMPLERS)}")
     if graph.m <= in_worker:
         return kernels.run(graph, sampler, iterations, seed)
-    if sampler in ("bfs", "enhanced"):
-        return rounds.breadth_first(graph, iterations, seed, by_degree=sampler == "bfs")
+    if sampler == "bfs":
+        return rounds.breadth_first(graph, iterations, seed)
+    if sampler == "enhanced":
+        return rounds.first_in_first_out(graph, iterations, seed)
     if sampler == "kruskal":
         return kruskal.spanning_trees(graph, iterations, seed)
     raise ValueError(f"{sampler} walks the graph in one worker, which holds {in_worker} edges; this graph has {graph.m}")

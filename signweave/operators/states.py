@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from signweave.functions.mixhash import draw
+from signweave.functions.order import ranked
 from signweave.functions.scratch import Scratch
 
 from .graph import Graph
 
+#: Seeds of the four 32-bit draws of a node that make up a state's key.
+KEYS = (1, 2, 3, 4)
+
 
 def on_edges(graph: Graph, trees: DataFrame) -> DataFrame:
     """iter, u, v, sign, su, sv, minus, in_tree for each iteration and edge.
@@ -40,14 +45,16 @@ def edge_counts(edge_states: DataFrame) -> DataFrame:
 
 
 def state_keys(trees: DataFrame) -> DataFrame:
-    """iter, state_key: a digest of the sides in order of nodes, node 0 on the positive one.
+    """iter, state_key: sums of draws over the nodes that are not on node 0's side.
 
     The graph hangs together, so two states are equal exactly if their sides are up to a
-    swap.  The sides of one iteration meet in one row: a byte for each node.
+    swap.  A node has four draws of 32 bits, and sums of them are added in any order, so
+    that no row holds the sides of an iteration.
     """
     zero = trees.where("node = 0").select("iter", F.col("s").alias("s0"))
-    sides = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "side"))), lambda x: x.side), "")
-    return trees.join(zero, "iter").withColumn("side", F.when(F.col("s") == F.col("s0"), "+").otherwise("-")).groupBy("iter").agg(F.sha2(sides, 256).alias("state_key"))
+    node = F.col("node")
+    sums = [F.sum(F.when(F.col("s") != F.col("s0"), draw(k, F.shiftright(node, 32), node)).otherwise(0)).cast("string") for k in KEYS]
+    return trees.join(zero, "iter").groupBy("iter").agg(F.concat_ws("-", *sums).alias("state_key"))
 
 
 def edge_string_keys(graph: Graph, edge_states: DataFrame) -> DataFrame:
@@ -84,12 +91,9 @@ def best_states(states: DataFrame) -> DataFrame:
 
 
 def numbered(states: DataFrame) -> DataFrame:
-    """The rows of the states file: number by key, frequency, switches.
-
-    Meant for the bounded collection that max_states gives; numbering is one sort.
-    """
-    number = F.row_number().over(Window.orderBy("state_key"))
-    return states.select(number.alias("Balanced State ID"), F.col("frequency").alias("Frequency"), F.col("switches").alias("Frustration Index"))
+    """The rows of the states file: number by key, frequency, switches."""
+    number = (F.col("number") + 1).cast("int")
+    return ranked(states, ["state_key"], "number").select(number.alias("Balanced State ID"), F.col("frequency").alias("Frequency"), F.col("switches").alias("Frustration Index"))
 
 
 def ancestors(trees: DataFrame) -> DataFrame:

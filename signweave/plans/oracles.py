@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from signweave.functions.mixhash import draw_np
+from signweave.operators.states import KEYS
+
 from .queries import CONSENSUS_ITERATIONS, ITERATIONS, STEPS
 
 _FLAG = "case l_returnflag when 'R' then -1 when 'A' then 1 else 0 end"
@@ -49,24 +52,36 @@ def steps(name: str, iterations: int) -> dict[str, str]:
         "degrees": "select src as nid, count(*) as degree from adj group by src",
         "roots": "select row_number() over (order by degree desc, nid) - 1 as k, nid from degrees",
         "starts": f"select iter, nid from (select unnest(range({iterations})) as iter) join roots on k = iter % (select count(*) from nodes)",
-        "walk": "select iter, nid as node, 0 as level from starts union select w.iter, a.dst, w.level + 1 from walk w join adj a on a.src = w.node where w.level < 6",
-        "levels": "select iter, node, min(level) as level from walk group by iter, node",
+        "walk": "select iter, nid, 0 from starts union select w.iter, a.dst, w.level + 1 from walk w join adj a on a.src = w.node left join recurring.walk r on r.iter = w.iter and r.node = a.dst where r.node is null",
+        "levels": "select iter, node, level from walk",
         "offers": """select c.iter, c.node, p.node as parent, a.sign, c.level, (p.node << 2) | ((p.level & 1) | 2) as tag,
             (c.iter + 17) * (c.iter + 17) + (c.iter + 17) as seed2 from levels c join adj a on a.src = c.node join levels p on p.iter = c.iter and p.node = a.dst and p.level = c.level - 1""",
         "hashed": f"select *, {mix('xor(xor(tag, node), seed2) & 4294967295')} as h from offers",
         "parents": "select iter, node, parent, sign, level from (select *, row_number() over (partition by iter, node order by case when h >= 2147483648 then h - 4294967296 else h end desc, tag desc) as best from hashed) where best = 1",
+        # the queue of shuffled neighbours
+        "drawn_iter": f"select iter, {mix('xor(' + mix('17') + ', ' + mix('(iter + 1)') + ')')} as h from starts",
+        "drawn_src": f"select iter, nid as src, {mix('xor(h, ' + mix('(nid + 1)') + ')')} as h from drawn_iter, nodes",
+        "shuffled": f"select iter, src, dst, sign, {mix('xor(h, ' + mix('(dst + 1)') + ')')} as h from adj join drawn_src using (src)",
+        "queued": """select iter, nid as node, 0::bigint as level, 1::bigint as s, 0::bigint as place from starts
+            union all select iter, node, level, s, row_number() over (partition by iter order by above, h, node) from (select q.iter, t.dst as node, q.level + 1 as level, q.s * t.sign as s, q.place as above, t.h,
+            row_number() over (partition by q.iter, t.dst order by q.place) as best from queued q join shuffled t on t.iter = q.iter and t.src = q.node join levels l on l.iter = q.iter and l.node = t.dst and l.level = q.level + 1) where best = 1""",
         "signs": "select iter, nid as node, 1 as s, 0 as level from starts union all select p.iter, p.node, p.sign * s.s, p.level from signs s join parents p on p.iter = s.iter and p.parent = s.node",
         "states": "select a.iter, u, v, sign, a.s as su, b.s as sv, a.s <> b.s as minus from edges join signs a on a.node = u join signs b on b.node = v and b.iter = a.iter",
         "switches": "select iter, sum(case when minus <> (sign = -1) then 1 else 0 end) as switches from states group by iter",
-        "keys": "select iter, sha256(string_agg(case when s = s0 then '+' else '-' end, '' order by node)) as state_key from signs join (select iter, s as s0 from signs where node = 0) using (iter) group by iter",
+        # ids are below 2^32 here, so the draw of their upper half is a constant
+        "node_mixed": f"select nid, {mix('(nid + 1)')} as m from nodes",
+        "node_draws": "select nid, " + ", ".join(f"{mix(f'xor({int(draw_np(k, 0))}, m)')} as d{k}" for k in KEYS) + " from node_mixed",
+        "keys": "select iter, concat_ws('-', " + ", ".join(f"sum(case when s <> s0 then d{k} else 0 end)::bigint" for k in KEYS) + ") as state_key from signs join (select iter, s as s0 from signs where node = 0) using (iter) join node_draws on nid = node group by iter",
         "cloud": "select state_key, count(*) as frequency, min(switches) as switches from keys join switches using (iter) group by state_key",
         "same": "select iter, u as a, v as b from states where not minus union all select iter, v, u from states where not minus",
         "joined": "select iter, node, node as low from signs union select j.iter, e.b, j.low from joined j join same e on e.iter = j.iter and e.a = j.node where j.low < e.b",
         "components": "select iter, node, min(low) as component from joined group by iter, node",
         "quotient": "select distinct iter, least(a.component, b.component) as a, greatest(a.component, b.component) as b from states join components a using (iter) join components b using (iter) where minus and a.node = u and b.node = v",
         "source": "select iter, component from (select iter, component, row_number() over (partition by iter order by count(*) desc, component) as best from components group by iter, component) where best = 1",
-        "hopped": "select iter, component, 0 as hops from source union select h.iter, case when q.a = h.component then q.b else q.a end, h.hops + 1 from hopped h join quotient q on q.iter = h.iter and (q.a = h.component or q.b = h.component) where h.hops < 4",
-        "hops": "select iter, component, min(hops) as hops from hopped group by iter, component",
+        "hopped": """select iter, component, 0 from source union select h.iter, q.b, h.hops + 1 from hopped h
+            join (select iter, a, b from quotient union all select iter, b, a from quotient) q on q.iter = h.iter and q.a = h.component
+            left join recurring.hopped r on r.iter = h.iter and r.component = q.b where r.component is null""",
+        "hops": "select iter, component, hops from hopped",
         "sides": "select iter, node, hops % 2 = 0 as side from components join hops using (iter, component)",
         "marks": """select u, v, sum(case when a.side and b.side then 1 else 0 end) as agreement, sum(case when minus = (sign = -1) then 1 else 0 end) as resolution
             from states t join sides a on a.iter = t.iter and a.node = u join sides b on b.iter = t.iter and b.node = v group by u, v""",
@@ -74,6 +89,10 @@ def steps(name: str, iterations: int) -> dict[str, str]:
     }
 
 
+#: Recursive steps that keep the first row of each key.
+KEYED = {"walk": "(iter, node, level) using key (iter, node)", "hopped": "(iter, component, hops) using key (iter, component)"}
+
+
 def statement(select: str, upto: str, name: str = "events", iterations: int = ITERATIONS, more: dict[str, str] | None = None) -> str:
     """The select over the steps up to the one named; graphs known to hang together still
     go through the component steps."""
@@ -91,7 +110,7 @@ def statement(select: str, upto: str, name: str = "events", iterations: int = IT
             if step not in used and step in part.replace("(", " ").replace(")", " ").replace(",", " ").split():
                 used.add(step)
                 text.append(chosen[step])
-    return "with recursive " + ",\n".join(f"{step} as ({body})" for step, body in chosen.items() if step in used) + "\n" + select
+    return "with recursive " + ",\n".join(f"{step}{KEYED.get(step, '')} as ({body})" for step, body in chosen.items() if step in used) + "\n" + select
 
 
 _C = {"iterations": CONSENSUS_ITERATIONS}
@@ -120,14 +139,17 @@ ORACLES = {
     "bfs_signs": statement(f"select {_ITER}, node, cast(s as integer) as s from signs", "signs"),
     "bfs_switches": statement(f"select {_ITER}, cast(switches as bigint) as switches from switches", "switches"),
     "nation_bfs_switches": statement(f"select {_ITER}, cast(switches as bigint) as switches from switches", "switches", "nation"),
+    "custpart_bfs_switches": statement(f"select {_ITER}, cast(switches as bigint) as switches from switches", "switches", "custpart"),
     "min_states": statement("select count(*) as states, cast(min(switches) as bigint) as switches from cloud where switches = (select min(switches) from cloud)", "cloud"),
     "cloud": statement("select state_key, frequency, cast(switches as bigint) as switches from cloud", "cloud"),
     "cloud_best": statement("select state_key, frequency, cast(switches as bigint) as switches from cloud order by switches, state_key limit 5", "cloud"),
     "states_csv": statement("""select cast(row_number() over (order by state_key) as integer) as "Balanced State ID", frequency as "Frequency", cast(switches as bigint) as "Frustration Index" from cloud""", "cloud"),
     "report_lines": statement(
-        """select 1::bigint as line_no, 'Frustration Index: ' || min(switches)::bigint as line from cloud
-        union all select 2, '# of Balanced States at the Frustration Index: ' || count(*) from cloud where switches = (select min(switches) from cloud)
-        union all select row_number() over (order by state_key) + 2, '# of Switches of Balanced State #' || row_number() over (order by state_key) || ': ' || switches::bigint from cloud""",
+        f"""select 1::bigint as line_no, 'Frustration Index ({ITERATIONS} iterations): ' || min(switches)::bigint as line from cloud
+        union all select 2, '# of Unique Balanced States With Minimum Number of Switches: ' || count(*) from cloud where switches = (select min(switches) from cloud)
+        union all select 3, '' union all select 4, 'Detailed Analysis:'
+        union all select row_number() over (order by state_key) + 4, '# of Switches of Balanced State #' || row_number() over (order by state_key) || ': ' || switches::bigint from cloud
+        union all select count(*) + 5, 'Minimum # of Switches after {ITERATIONS} iteration(s): ' || min(switches)::bigint from cloud""",
         "cloud",
     ),
     "tree_edge_counts": statement(
@@ -174,7 +196,7 @@ ORACLES = {
         **_C,
     ),
     "enhanced_history": statement(
-        f"select {_ITER}, cast(switches as bigint) as frustration from switches", "switches", more={"starts": f"select iter, iter % (select count(*) from nodes) as nid from (select unnest(range({ITERATIONS})) as iter)"}
+        f"select {_ITER}, cast(switches as bigint) as frustration from switches", "switches", more={"starts": f"select iter, iter % (select count(*) from nodes) as nid from (select unnest(range({ITERATIONS})) as iter)", "signs": "select iter, node, s, level from queued"}
     ),
 }
 for _name, _graph in (("load_stats", "events"), ("load_stats_custsupp", "custsupp")):

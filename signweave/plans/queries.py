@@ -81,7 +81,7 @@ def _states_csv(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.report_lines(_events()(spark, d).cloud()).select(F.col("line_no").cast("long").alias("line_no"), "line")
+    return sinks.report_lines(_events()(spark, d).cloud(), ITERATIONS).select(F.col("line_no").cast("long").alias("line_no"), "line")
 
 
 def _edge_counts(column: str) -> Query:

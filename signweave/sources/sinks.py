@@ -8,22 +8,33 @@ from pyspark.sql import functions as F
 from signweave.operators.states import best_states, numbered
 
 
-def report_lines(states: DataFrame) -> DataFrame:
-    """line_no, line: the bound, the number of states at it, and every state's switches."""
-    head = states.agg(F.min("switches").alias("least"), F.count("*").alias("n"))
+# The phrases of the report.
+INDEX = "Frustration Index (%d iterations): "
+AT_LEAST = "# of Unique Balanced States With Minimum Number of Switches: "
+DETAIL = "Detailed Analysis:"
+OF_STATE, OF_ITERATION = "# of Switches of Balanced State #", "# of Switches of iteration "
+CLOSING = "Minimum # of Switches after %d iteration(s): "
+
+
+def report_lines(states: DataFrame, iterations: int) -> DataFrame:
+    """line_no, line: the bound, the number of states at it, every state's switches and the
+    bound again; states are those of so many iterations.  No states give no lines."""
+    least = states.agg(F.min("switches").alias("least"), F.count("*").alias("n")).where("n > 0")
     best = best_states(states).agg(F.count("*").alias("at"))
-    lines = numbered(states).select((F.col("Balanced State ID") + 2).alias("line_no"), F.concat(F.lit("# of Switches of Balanced State #"), F.col("Balanced State ID"), F.lit(": "), F.col("Frustration Index")).alias("line"))
-    top = head.select(F.lit(1).alias("line_no"), F.concat(F.lit("Frustration Index: "), "least").alias("line"))
-    second = best.select(F.lit(2).alias("line_no"), F.concat(F.lit("# of Balanced States at the Frustration Index: "), "at").alias("line"))
-    return top.unionByName(second).unionByName(lines)
+    number = F.col("Balanced State ID")
+    each = numbered(states).select((number + 4).alias("line_no"), F.concat(F.lit(OF_STATE), number, F.lit(": "), F.col("Frustration Index")).alias("line"))
+    index, closing = F.concat(F.lit(INDEX % iterations), "least"), F.concat(F.lit(CLOSING % iterations), "least")
+    fixed = [(F.lit(1), index), (F.lit(2), F.concat(F.lit(AT_LEAST), "at")), (F.lit(3), F.lit("")), (F.lit(4), F.lit(DETAIL)), ((F.col("n") + 5).cast("int"), closing)]
+    frame = least.crossJoin(best).select(F.inline(F.array(*(F.struct(no.alias("line_no"), line.alias("line")) for no, line in fixed))))  # one row each
+    return frame.unionByName(each)
 
 
-def write_report(states: DataFrame, path: str) -> None:
-    report_lines(states).orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(path)
+def write_report(states: DataFrame, iterations: int, path: str) -> None:
+    report_lines(states, iterations).orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_iterations(per_iteration: DataFrame, path: str) -> None:
-    lines = per_iteration.orderBy("iter").select(F.concat(F.lit("# of Switches of iteration "), F.col("iter"), F.lit(": "), F.col("switches")).alias("line"))
+    lines = per_iteration.orderBy("iter").select(F.concat(F.lit(OF_ITERATION), F.col("iter"), F.lit(": "), F.col("switches")).alias("line"))
     lines.coalesce(1).write.mode("overwrite").text(path)
 
 

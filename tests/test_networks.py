@@ -5,6 +5,8 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
+from signweave.__main__ import analyse
+from signweave.functions.mixhash import draw_np
 from signweave.operators import clean, consensus, graph, relax, samplers, states
 from signweave.operators.components import connected_components
 from signweave.operators.samplers import kruskal, rounds
@@ -15,6 +17,16 @@ from signweave.sources.edges import read_edge_list
 
 ROWS = "10,20,1 20,10,1 20,30,-1 30,20,1 30,10,1 30,40,0 40,50,-1 50,30,-1 50,60,1 60,10,-1 7,7,1 20,40,2 70,80,1 80,90,-1".split()
 
+#: Switches of 16 iterations, from FIXTURES.md.
+GOLDEN = {
+    ("events", "bfs"): [38, 36, 42, 46, 36, 44, 48, 38, 42, 44, 36, 42, 52, 36, 50, 38],
+    ("events", "dfs"): [36, 36, 36, 42, 38, 42, 36, 36, 36, 40, 36, 36, 36, 42, 38, 36],
+    ("custpart", "bfs"): [5, 2, 3, 3, 3, 4, 4, 4, 5, 3, 4, 5, 5, 5, 4, 3],
+    ("custpart", "dfs"): [3, 3, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 3, 2, 3],
+    ("nation", "bfs"): [90, 74, 94, 88, 82, 92, 84, 78, 78, 82, 88, 84, 72, 78, 96, 86],
+    ("nation", "dfs"): [86, 84, 86, 84, 86, 76, 78, 78, 88, 86, 82, 86, 84, 84, 80, 84],
+}
+
 
 @pytest.fixture(scope="module")
 def raw(spark):
@@ -135,13 +147,73 @@ def test_subtree_sizes(run, tiny):
 
 def test_sinks(run, tmp_path):
     cloud = run.cloud()
-    sinks.write_report(cloud, str(tmp_path / "report"))
+    sinks.write_report(cloud, 8, str(tmp_path / "report"))
     sinks.write_states(cloud, str(tmp_path / "states"))
     sinks.write_iterations(run.switches, str(tmp_path / "iterations"))
-    text = "".join(p.read_text() for p in (tmp_path / "report").glob("part-*"))
-    assert text.startswith("Frustration Index: 1\n") and text.count("\n") == 2 + cloud.count()
-    head = "".join(p.read_text() for p in (tmp_path / "states").glob("part-*")).splitlines()[0]
-    assert head == "Balanced State ID,Frequency,Frustration Index"
+    found = {r.state_key: (r.frequency, r.switches) for r in cloud.collect()}
+    ordered = [found[k] for k in sorted(found)]
+    assert lines(tmp_path / "report") == [
+        "Frustration Index (8 iterations): 1",
+        "# of Unique Balanced States With Minimum Number of Switches: 2",
+        "",
+        "Detailed Analysis:",
+        *(f"# of Switches of Balanced State #{i + 1}: {n}" for i, (_, n) in enumerate(ordered)),
+        "Minimum # of Switches after 8 iteration(s): 1",
+    ]
+    assert lines(tmp_path / "states") == ["Balanced State ID,Frequency,Frustration Index", *(f"{i + 1},{f},{n}" for i, (f, n) in enumerate(ordered))]
+    assert lines(tmp_path / "iterations") == [f"# of Switches of iteration {i}: {n}" for i, n in enumerate((1, 1, 1, 2, 1, 1, 1, 1))]
+
+
+def lines(folder):
+    return "".join(p.read_text() for p in sorted(folder.glob("part-*"))).splitlines()
+
+
+def test_one_call_writes_every_report(spark, tmp_path):
+    path, said = tmp_path / "edges.csv", []
+    path.write_text("src,dst,sign\n" + "\n".join(ROWS) + "\n")
+    got = analyse(spark, str(path), 8, str(tmp_path / "out"), features=True, say=said.append)
+    assert got.first().frustration_index == 1 and "kept: 10" in said
+    assert lines(tmp_path / "out" / "history") == ["1", "1", "1", "2", "1", "1", "1", "1"]
+    assert len(lines(tmp_path / "out" / "report")) == 5 + 3
+    nodes = [x for x in lines(tmp_path / "out" / "features" / "nodes") if not x.startswith("orig_id")]
+    assert sorted(x.split(",")[:2] for x in nodes)[:2] == [["10", "1.0"], ["20", "0.5"]] and len(nodes) == 6
+    analyse(spark, str(path), 3, str(tmp_path / "relaxed"), sampler="gradient", say=said.append)
+    assert len(lines(tmp_path / "relaxed" / "history")) == 3
+
+
+def test_states_are_equal_up_to_a_swap_of_sides(spark):
+    sides = [[1, 1, -1, -1], [-1, -1, 1, 1], [1, -1, -1, 1], [1, 1, 1, 1], [-1, -1, -1, -1]]
+    trees = spark.createDataFrame([(i, v, s) for i, x in enumerate(sides) for v, s in enumerate(x)], "iter int, node long, s int")
+    keys = {r.iter: r.state_key for r in states.state_keys(trees).collect()}
+    assert keys[0] == keys[1] and keys[3] == keys[4] and len(set(keys.values())) == 3
+
+
+@pytest.mark.parametrize("name", ["events", "custpart", "nation"])
+def test_golden_switches_of_every_graph(spark, name):
+    g = made(spark, "/root/testdata/sf0.001", name)
+    for sampler in ("bfs", "dfs"):
+        assert [r.switches for r in Run(g, sampler, 16).switches.orderBy("iter").collect()] == GOLDEN[name, sampler]
+
+
+def test_queue_of_shuffled_neighbours(spark):
+    """Against a plain queue, in a worker and by joins."""
+    g = made(spark, "/root/testdata/sf0.001", "nation")
+    around = {}
+    for u, v, sign in rows(g.edges, "u", "v"):
+        around.setdefault(u, []).append((v, sign))
+        around.setdefault(v, []).append((u, sign))
+    want = []
+    for i in range(3):
+        found, queue = {i % g.n: (None, 0, 1)}, [i % g.n]
+        for v in queue:
+            for w, sign in sorted(around[v], key=lambda x: (int(draw_np(17, i, v, x[0])), x[0])):
+                if w not in found:
+                    found[w] = (v, found[v][1] + 1, found[v][2] * sign)
+                    queue.append(w)
+        want += [(i, v, *x) for v, x in found.items()]
+    for in_worker in (samplers.IN_WORKER, 0):
+        got = [tuple(r) for r in samplers.sample(g, "enhanced", 3, 17, in_worker).select("iter", "node", "parent", "level", "s").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_no_edges_give_no_rows(spark):
