@@ -32,12 +32,6 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 class Scratch:
     """Named Parquet tables of one run below the shared folder."""
 
