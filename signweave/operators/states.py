@@ -15,6 +15,8 @@ from .graph import Graph
 
 #: Seeds of the four 32-bit draws of a node that make up a state's key.
 KEYS = (1, 2, 3, 4)
+#: Bits of a word (a long that stays positive), words of a run.
+WORD, RUN = 62, 512
 
 
 def on_edges(graph: Graph, trees: DataFrame) -> DataFrame:
@@ -57,17 +59,45 @@ def state_keys(trees: DataFrame) -> DataFrame:
     return trees.join(zero, "iter").groupBy("iter").agg(F.concat_ws("-", *sums).alias("state_key"))
 
 
-def edge_string_keys(graph: Graph, edge_states: DataFrame) -> DataFrame:
-    """iter, state_key: the whole state as text, edges in order of original ids.
+def edge_words(graph: Graph, trees: DataFrame, iterations: int) -> DataFrame:
+    """iter, at, bits, switches: every state as words of WORD edges in order of original
+    ids, negative edges as ones from the highest bit, and the switches among those edges.
 
-    For small graphs: a row holds all edges of an iteration.  Numbering states by this key
-    is the order in which a map of such texts lists them.
+    Until the words are made, a row holds an edge in WORD iterations, not in one.
     """
+    shift = lambda way, x, by: F.call_function(way, x, by.cast("int"))
+    bit = F.when(F.col("s") == -1, shift("shiftleft", F.lit(1).cast("long"), F.col("iter") % WORD)).otherwise(0)
+    packed = trees.groupBy("node", F.floor(F.col("iter") / WORD).alias("group")).agg(F.sum(bit).alias("s"))
+    side = lambda c: packed.select(F.col("node").alias(c), "group", F.col("s").alias(f"s{c}"))
     name = lambda c: graph.nodes.select(F.col("nid").alias(c), F.col("orig_id").alias(f"orig_{c}"))
-    named = edge_states.join(name("u"), "u").join(name("v"), "v")
-    edges = F.array_sort(F.collect_list(F.struct("orig_u", "orig_v", F.col("minus").cast("int").alias("minus"))))
-    text = F.transform(edges, lambda e: F.concat(e.orig_u.cast("string"), F.lit("-->"), e.orig_v.cast("string"), F.lit(":"), e.minus.cast("string"), F.lit(" | ")))
-    return named.groupBy("iter").agg(F.array_join(text, "").alias("state_key"))
+    both = graph.edges.join(name("u"), "u").join(name("v"), "v").join(side("u"), "u").join(side("v"), ["v", "group"])
+    minus = both.select("group", "orig_u", "orig_v", "sign", F.col("su").bitwiseXOR(F.col("sv")).alias("minus"))
+    # each group has all edges
+    placed = ranked(minus, ["group", "orig_u", "orig_v"], "place").withColumn("place", F.col("place") % graph.m)
+    first = F.col("group") * WORD
+    each = placed.select("place", "sign", "minus", F.explode(F.sequence(first, F.least(first + WORD, F.lit(iterations)) - 1)).alias("iter"))
+    one = shift("shiftright", F.col("minus"), F.col("iter") % WORD).bitwiseAND(1)
+    rows = each.select(F.col("iter").cast("int").alias("iter"), "place", one.alias("minus"), (F.col("sign") == -1).cast("long").alias("was"))
+    bits = F.sum(shift("shiftleft", F.col("minus"), WORD - 1 - F.col("place") % WORD))
+    return rows.groupBy("iter", F.floor(F.col("place") / WORD).alias("at")).agg(bits.alias("bits"), F.sum(F.col("minus").bitwiseXOR(F.col("was"))).alias("switches"))
+
+
+def edge_string_keys(words: DataFrame, m: int) -> DataFrame:
+    """iter, state_key: the state's place in the order of whole states as text, edges in
+    order of original ids, as a map of such texts lists them; equal states share a place.
+
+    Texts of one graph differ in the digits of its edges alone, so words of edges are
+    compared, then runs of RUN words by the places of their words, then runs of runs: no
+    row holds a state, and a task compares the iterations of a run.
+    """
+    places, left = words.select("iter", "at", F.col("bits").alias("place")), -(-m // WORD)
+    while True:
+        run = F.sort_array(F.collect_list(F.struct("at", "place")))
+        runs = places.groupBy("iter", F.floor(F.col("at") / RUN).alias("at")).agg(run["place"].alias("run"))
+        place = F.dense_rank().over(Window.partitionBy("at").orderBy("run"))
+        places, left = runs.select("iter", "at", place.cast("long").alias("place")), -(-left // RUN)
+        if left <= 1:
+            return places.select("iter", F.col("place").alias("state_key"))
 
 
 def cloud(keys: DataFrame, per_iteration: DataFrame, max_states: int | None = None) -> DataFrame:

@@ -98,7 +98,9 @@ def _preorder(spark: SparkSession, d: str) -> DataFrame:
 
 def _edge_string_states(spark: SparkSession, d: str) -> DataFrame:
     run = _events()(spark, d)
-    return states.numbered(states.cloud(states.edge_string_keys(run.graph, run.edge_states), run.switches))
+    words = run.scratch.table(states.edge_words(run.graph, run.trees, run.iterations), "words")
+    switches = words.groupBy("iter").agg(F.sum("switches").alias("switches"))
+    return states.numbered(states.cloud(states.edge_string_keys(words, run.graph.m), switches))
 
 
 class _Sides:

@@ -12,6 +12,7 @@ from signweave.operators.components import connected_components
 from signweave.operators.samplers import kruskal, rounds
 from signweave.plans.prepare import Run, from_raw
 from signweave.plans.prepare import graph as made
+from signweave.plans.queries import QUERIES
 from signweave.sources import sinks
 from signweave.sources.edges import read_edge_list
 
@@ -232,3 +233,43 @@ def test_kruskal_trees_alike_in_a_worker_and_by_joins(spark):
         edges = states.on_edges(g, trees)
         found.append((sorted((r.iter, r.node, r.parent or -1, r.s) for r in trees.collect()), sorted((r.iter, r.u, r.v, r.minus) for r in edges.where("in_tree").collect())))
     assert found[0] == found[1] and len(found[0][1]) == 2 * (g.n - 1)
+
+
+def test_states_in_the_order_of_their_texts(spark, monkeypatch):
+    """Several words, runs and groups of iterations, against the texts."""
+    g = made(spark, "/root/testdata/sf0.001", "custpart")
+    monkeypatch.setattr(states, "RUN", 2)
+    run = Run(g, "bfs", 70)
+    names = {r.nid: r.orig_id for r in g.nodes.collect()}
+    edges, texts = {}, {}
+    for r in run.edge_states.collect():
+        edges.setdefault(r.iter, []).append((names[r.u], names[r.v], int(r.minus)))
+    for i, found in edges.items():
+        texts[i] = "".join(f"{u}-->{v}:{x} | " for u, v, x in sorted(found))
+    order = {text: k + 1 for k, text in enumerate(sorted(set(texts.values())))}
+    words = run.scratch.table(states.edge_words(g, run.trees, 70), "words")
+    assert g.m > 2 * 62 and 1 < len(order)
+    assert {r.iter: r.state_key for r in states.edge_string_keys(words, g.m).collect()} == {i: order[text] for i, text in texts.items()}
+    assert rows(words.groupBy("iter").agg(F.sum("switches")), "iter") == rows(run.switches, "iter")
+
+
+def test_states_that_differ_late_or_not_at_all(spark, monkeypatch):
+    """Through three rounds of runs, the last of them not full."""
+    monkeypatch.setattr(states, "RUN", 2)
+    whole = [[7] * 7, [7] * 6 + [8], [7] * 7, [7, 7, 7, 9, 0, 0, 0], [7] * 5 + [2**62 - 1, 0], [6] + [9] * 6]
+    words = spark.createDataFrame([(i, at, x) for i, state in enumerate(whole) for at, x in enumerate(state)], "iter int, at long, bits long")
+    keys = {r.iter: r.state_key for r in states.edge_string_keys(words, 6 * states.WORD + 1).collect()}
+    assert keys == {5: 1, 0: 2, 2: 2, 1: 3, 4: 4, 3: 5}
+
+
+def test_no_row_to_be_ordered_holds_a_state(spark, monkeypatch):
+    """Bounds of a range partition are rows that the driver holds."""
+    widest, plain = [], states.ranked
+
+    def watched(df, order, *rest):
+        widest.append(df.agg(F.max(F.length(F.concat_ws(",", *(F.col(c).cast("string") for c in order))))).first()[0])
+        return plain(df, order, *rest)
+
+    monkeypatch.setattr(states, "ranked", watched)
+    QUERIES["states_by_edge_string"](spark, "/root/testdata/sf0.01").collect()
+    assert widest and max(widest) < 64
