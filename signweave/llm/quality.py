@@ -16,14 +16,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .slices import SLICE, Texts, mixed, slices
+from .slices import SLICE, Texts, mixed, release, slices
 
 BUCKETS, DIM, GRAMS, EPOCHS, RATE, SEED = 1 << 17, 10, (3, 4), 5, 0.4, 11
 #: The bucket of any repeated word.
 SAME = 1
 #: The bounded sample: so many labelled rows.
 SAMPLE = 5000
+#: Bytes of text whose features are taken at once: arrays of some 100 bytes for each byte stand beside them.
+MOST = SLICE // 8
 
 
 def features(texts: Texts, buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -63,6 +66,29 @@ def shares(kinds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return unique, np.bincount(where, weights, len(unique)).astype(np.float32)
 
 
+class Rows:
+    """What shares() gives for each text, exactly, in half the memory: buckets are in order,
+    so 16 bits of each do with the places where the rest changes; shares are few distinct numbers."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def add(self, ids: np.ndarray, weights: np.ndarray) -> None:
+        values, places = np.unique(weights, return_inverse=True)
+        cuts = np.searchsorted(ids, np.arange(1 << 16, BUCKETS, 1 << 16))
+        self.held.append((ids.astype(np.uint16), cuts, values, places.astype(np.min_scalar_type(len(values)))))
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        low, cuts, values, places = self.held[i]
+        ids = low.astype(np.int32)
+        for cut in cuts:
+            ids[cut:] += 1 << 16
+        return ids, values[places]
+
+
 class Model:
     """Bucket vectors, output weights and bias."""
 
@@ -71,7 +97,7 @@ class Model:
         self.vectors = draw.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
         self.out, self.bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
 
-    def train(self, rows: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, epochs: int, rate: float, seed: int) -> None:
+    def train(self, rows: Rows, classes: np.ndarray, epochs: int, rate: float, seed: int) -> None:
         """rows: buckets of a document and the share of each."""
         draw, steps, done = np.random.Generator(np.random.PCG64(seed)), epochs * len(rows), 0
         # start from the share of each class, which a text without features then gets
@@ -104,6 +130,24 @@ class Model:
         return (self.vectors @ (self.out[:, 1] - self.out[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
+def learned(batches: Iterator[pa.RecordBatch], epochs: int, rate: float, seed: int) -> Iterator[pa.RecordBatch]:
+    """The table and the bias of a model trained on the texts and classes y of the batches."""
+    rows, classes = Rows(), []
+    for batch in slices(batches, most=MOST):
+        ids, at = features(Texts(batch.column("text")))
+        for i in range(batch.num_rows):
+            rows.add(*shares([x[a[i] : a[i + 1]] for x, a in zip(ids, at)]))
+        classes += batch.column("y").to_pylist()
+        del batch, ids, at
+    if classes:
+        model = Model()
+        model.train(rows, np.array(classes), epochs, rate, seed)
+        weights, bias = model.table()
+        del rows, model
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_on, label_col: str, sample: int = SAMPLE, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
     """Train on at most `sample` labelled rows, those of lowest hash of the id.
 
@@ -117,20 +161,22 @@ def fit(docs: DataFrame, labels: DataFrame, train_on, label_col: str, sample: in
     taken = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, classes = [], []
-        for batch in slices(batches, most=SLICE // 8):
-            ids, at = features(Texts(batch.column("text")))
-            rows += [shares([x[a[i] : a[i + 1]] for x, a in zip(ids, at)]) for i in range(batch.num_rows)]
-            classes += batch.column("y").to_pylist()
-        if rows:
-            model = Model()
-            model.train(rows, np.array(classes), epochs, rate, seed)
-            weights, bias = model.table()
-            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
+        return learned(batches, epochs, rate, seed)
 
     # the sample is bounded, so one task holds it; a lost one is run again, with the same result
-    learned = taken.repartition(1).sortWithinPartitions("id").mapInArrow(learn, "weights binary, bias double").collect()
-    return (np.frombuffer(learned[0].weights, np.float32), learned[0].bias) if learned else Model().table()
+    found = taken.repartition(1).sortWithinPartitions("id").mapInArrow(learn, "weights binary, bias double").collect()
+    return (np.frombuffer(found[0].weights, np.float32), found[0].bias) if found else Model().table()
+
+
+def scored(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float, keep: list[str], read: str) -> Iterator[pa.RecordBatch]:
+    """The kept columns and the score of each row, from the text named read."""
+    for batch in slices(batches, read, MOST):
+        kinds, odds = list(zip(*features(Texts(batch.column(read))))), np.full(batch.num_rows, bias)
+        for ids, at in kinds:
+            sums = np.concatenate([[0], np.cumsum(weights[ids], dtype=np.float64)])
+            odds += (sums[at[1:]] - sums[at[:-1]]) / (len(kinds) * np.maximum(np.diff(at), 1))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(odds, -500, 500))))], names=[*keep, "score"])
+        del batch
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], text_col: str = "text") -> DataFrame:
@@ -138,16 +184,14 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], te
     table = docs.sparkSession.sparkContext.broadcast(model)
     shape = docs.select(*keep).schema
 
+    # a kept text is sent once; null is scored as empty
+    once = text_col in keep and shape[text_col].dataType == T.StringType()
+    read = text_col if once else "scored text"
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = table.value
-        for batch in slices(batches, "scored text"):
-            kinds, odds = list(zip(*features(Texts(batch.column("scored text"))))), np.full(batch.num_rows, bias)
-            for ids, at in kinds:
-                sums = np.concatenate([[0], np.cumsum(weights[ids], dtype=np.float64)])
-                odds += (sums[at[1:]] - sums[at[:-1]]) / (len(kinds) * np.maximum(np.diff(at), 1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(odds, -500, 500))))], names=[*keep, "score"])
-
-    rows = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("scored text"))
+        return scored(batches, *table.value, keep, read)
+
+    rows = docs.select(*keep, *([] if once else [F.col(text_col).cast("string").alias(read)]))
     return rows.mapInArrow(score, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape) + ", score double")
 
 

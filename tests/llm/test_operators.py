@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -408,6 +409,44 @@ def test_quality_odd_rows(spark, docs, bodies):
     assert {r.score for r in none} and len(none) == docs.count()
 
 
+def test_quality_workers_hold_little(spark, docs, monkeypatch):
+    """What Python arrays take beside texts of 8 MB, in training and in scoring; a kept text is sent once."""
+    sent, kind = [], type(docs)
+    through = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **b: (sent.append((f, self.columns)), through(self, f, *a, **b))[1])
+    model = quality.fit(docs, spark.createDataFrame([(9, 1), (12, 0)], "doc_id long, quality int"), lambda c: c >= 0, "quality", epochs=1)
+    quality.scores(docs, model, ["doc_id", "text"])
+    (learn, _), (score, columns) = sent
+    assert columns == ["doc_id", "text"]
+    draw = random.Random(8)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(20_000)]
+    bodies = [" ".join(draw.choices(words, k=600)) for _ in range(2000)]
+    batch = pa.table({"id": range(2000), "doc_id": range(2000), "y": [i % 2 for i in range(2000)], "text": bodies}).combine_chunks().to_batches()[0]
+
+    def most(f):
+        tracemalloc.start()
+        rows = sum(x.num_rows for x in f(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1] >> 20
+        tracemalloc.stop()
+        return rows, peak
+
+    learnt, scored = most(learn), most(score)
+    assert learnt[0] == 1 and scored[0] == 2000
+    assert learnt[1] < 110 and scored[1] < 40, (learnt, scored)
+
+
+def test_quality_rows_as_they_were():
+    draw = np.random.default_rng(4)
+    found, rows = [], quality.Rows()
+    for n in (0, 1, 7, 3000, 200_000):
+        kinds = [np.concatenate([draw.integers(0, quality.BUCKETS, n), draw.integers(0, 9, n)]).astype(np.int32) for _ in range(4)]
+        found.append(quality.shares(kinds))
+        rows.add(*found[-1])
+    assert len(rows) == len(found)
+    for i, (ids, weights) in enumerate(found):
+        assert np.array_equal(rows[i][0], ids) and np.array_equal(rows[i][1], weights) and rows[i][1].dtype == weights.dtype
+
+
 def fingerprint(text):
     words = re.findall(SPACES, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
